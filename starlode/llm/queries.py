@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlode.llm import ogg, packing, secrets
+from starlode.llm import neardup, ogg, packing, secrets
 from starlode.llm.common import load
 
 
@@ -28,10 +28,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"), shingle=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ogg_media": op3_ogg_media,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
