@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlode.llm import langid, linededup, neardup, ogg, packing, quality, secrets
+from starlode.llm import fingerprints, langid, linededup, neardup, ogg, packing, quality, secrets, sharding
 from starlode.llm.common import load
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_edits(load(spark, sf_dir, "documents"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.roundtrip(load(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(load(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -45,8 +53,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op3_ogg_media": op3_ogg_media,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_balanced_sharding": op5_balanced_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
