@@ -40,11 +40,11 @@ def signature(texts: pa.Array, n: int = PERMUTATIONS, shingle: int = SHINGLE) ->
 
 def fingerprint(minima: np.ndarray) -> np.ndarray:
     """16 bits of each minimum; all ones stay all ones."""
-    return np.where(minima == 0xFFFFFFFF, 0xFFFF, hashing.mix32(minima) & np.uint32(0xFFFF)).astype(">u2")
+    return np.where(minima == 0xFFFFFFFF, 0xFFFF, hashing.mix32(minima) & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def hexed(prints: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in prints]
+    return [row.tobytes().hex() for row in prints.astype(">u2")]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
