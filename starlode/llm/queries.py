@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlode.llm import fingerprints, langid, linededup, neardup, ogg, packing, quality, secrets, sharding
+from starlode.llm import fingerprints, langid, linededup, neardup, ogg, packing, pieces, quality, secrets, sharding
 from starlode.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(load(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.verified(load(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.roundtrip(load(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_ogg_media": op3_ogg_media,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_balanced_sharding": op5_balanced_sharding,
