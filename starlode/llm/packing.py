@@ -12,6 +12,7 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,28 +31,51 @@ FAN = 8
 RESIDUAL = 4096
 SLACK = 16
 SLACK_GROWTH = 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class WordIds(dict):
     """Little-endian unsigned 32-bit ids of words between ASCII white space, by the tokenizers library, remembered.
 
     The tokenizer drops white space and none of its rules reaches over it, so that the ids of a text are those of its
-    words one after the other.
+    words one after the other. Words that differ in ASCII case are one; marks behind a letter or digit are a token of
+    their own; words of Latin letters go straight to the tokenizer's model, all others through all of its steps.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+        value = self[word] = self.fresh(word)
         return value
 
+    def fresh(self, word: bytes) -> bytes:
+        if b"<|" not in word and (low := word.lower()) != word:
+            return self[low]
+        head = word.rstrip(b".,;:!?")
+        if head != word and head[-1:].isalnum():  # an ASCII letter or digit
+            return self[head] + self[word[len(head) :]]
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            small = unicodedata.normalize("NFC", text).lower().encode()
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, small)))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
