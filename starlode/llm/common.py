@@ -1,19 +1,16 @@
-"""What the operators share: shared folders, code shipping, Arrow batches and small column helpers."""
+"""What the operators share: Arrow batches and small column helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlode.storage import ship, written  # noqa: F401  the operators take written from here
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Text bytes that a kernel handles at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -30,34 +27,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
-    root = str(Path(__file__).resolve().parents[2])
-    sc = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_starlode_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp()) / "starlode.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for path in sorted(Path(root, "starlode").rglob("*.py")):
-            z.write(path, path.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._starlode_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    sc = spark.sparkContext
-    if not getattr(sc, "_starlode_shared", None):
-        sc._starlode_shared = "file://" + tempfile.mkdtemp(prefix="starlode-")
-    return sc._starlode_shared
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/starlode-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
 
 
 def held_out(modulus: int, rest: int) -> Column:
