@@ -29,7 +29,8 @@ FILTERS = 8
 CLASSES = 64
 #: Bound of the training sample: so many documents, chosen by a hash of doc_id, one stretch of text of each.
 SAMPLE = 4000
-EPOCHS = 12
+#: Training steps, whatever the sample's size.
+STEPS = 750
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 BLOCK = 1 << 14
@@ -109,7 +110,7 @@ def predict(net: Network, data: np.ndarray, at: np.ndarray, tables: tuple[np.nda
     return out / np.maximum(counts, 1)[:, None]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 3, rate: float = 0.01, batch: int = 64) -> Network | None:
+def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3, rate: float = 0.01, batch: int = 64) -> Network | None:
     """Adam on the cross-entropy of one window per text; None without texts."""
     rows = [(t.encode()[:WINDOW], y) for t, y in zip(texts, labels, strict=True) if t and y is not None]
     if not rows:
@@ -129,7 +130,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     step = 0
     lengths = np.array([len(t) for t, _ in rows])
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), batch):
             pick = order[a : a + batch]
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, net: Network | None, carry: tuple[str, ...] = ())
             probability = predict(net, *common.text_buffer(texts), tables)
             for i, k in enumerate(probability.argmax(axis=1).tolist()):
                 if good[i]:
-                    names[i], scores[i] = net.languages[k], min(1.0, float(probability[i, k]))
+                    names[i], scores[i] = net.languages[k], min(1.0, round(float(probability[i, k]), 6))
         extra = {c: batch.column(c) for c in carry}
         return common.batch_of(doc_id=batch.column("doc_id"), lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()), **extra)
 
