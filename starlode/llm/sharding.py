@@ -3,9 +3,9 @@
 Documents of equal text are linked. Each starts in the shard of a hash; in each round a unit of linked documents wants to
 meet in the shard where most of its documents are, among those with room, and shards admit units (in the order of a hash)
 up to a quota: the room that is left plus half of what is about to leave. Documents of a unit and shard are alike, so the
-state is one row per unit and shard with a count, and a group with many documents is split into units of at most 1/1024 of
-the table, which no shard's quota is too small for and which keeps every join key's rows bounded. What exceeds a shard's
-share in the end, documents without links first, moves to shards below theirs: counts are at most one apart (law ``rows``).
+state is one row per unit and shard with a count. A group with many documents is split into units (see PARTS), which no
+shard's quota is too small for and which keep the rows of every join key bounded. What exceeds a shard's share in the
+end, documents without links first, moves to shards below theirs: counts are at most one apart (law ``rows``).
 
 Defined results: a null text is an empty one; rows without doc_id are rows as any other; repeated rows get slots of their
 own; an empty table gives no rows; columns other than doc_id and text are ignored. The result does not depend on the
@@ -23,8 +23,9 @@ from starlode.llm.common import written
 
 SHARDS = 16
 ROUNDS = 6
-#: Units of at most one part in this many of all rows; so at most this many groups are larger and are split.
-PARTS = 1024
+#: Units of at most one part in this many of all rows, or of so many rows where that is more (in small tables at most a
+#: quarter of a shard's share); so at most PARTS groups, or 4 a shard, are larger and are split.
+PARTS, SMALL_UNIT = 1024, 1000
 #: Buckets of the admission order, and of the ranks in a shard.
 BUCKETS = 256
 UNIT = ["g1", "g2", "part"]
@@ -98,9 +99,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     rows = written(base_rows(docs, shards), "rows")
     total = rows.count()
     shares = [total // shards + (j < total % shards) for j in range(shards)]
-    limit = max(1, total // PARTS)
+    limit = max(1, total // PARTS, min(SMALL_UNIT, total // (4 * shards)))
     groups = written(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    large = groups.where(F.col("n") > limit).select("g1", "g2", F.ceil(F.col("n") / limit).alias("parts"))  # PARTS rows at most
+    large = groups.where(F.col("n") > limit).select("g1", "g2", F.ceil(F.col("n") / limit).alias("parts"))  # a bounded number of rows, see PARTS
     part = F.coalesce(F.pmod(F.shiftright("own", 20), F.col("parts")), F.lit(0))
     rows = rows.join(F.broadcast(large), ["g1", "g2"], "left").withColumn("part", part).drop("parts")
     cells = rows.groupBy(*UNIT, F.col("home").alias("shard")).agg(F.count("*").alias("n"))
