@@ -2,9 +2,15 @@
 
 Every bucket (equal band keys) first sends one edge from each item to the bucket's smallest item: pair counts are linear
 in the rows. Edges are verified on the full sets. Where a bucket still holds items of several components, further items
-become centres, up to STARS in a round, those of the smallest components first, and each meets the items of the other
-components; a centre that has met all is done. The rounds end when no bucket has a pair left that is neither verified
-nor inside one component, so a hot bucket costs no quadratic number of pairs, and none is capped or dropped.
+become centres, up to STARS in a round (GROWTH times as many in each next one), those of the smallest components first,
+and each meets the items of the other components; a centre that has met all is done. The rounds end when no bucket has a
+pair left that is neither verified nor inside one component: a hot bucket of like items costs no quadratic number of
+pairs, and none is capped or dropped.
+
+Items may carry a sketch, one bit of each of 64 * w further signature entries (columns s0 to s{w-1}): equal bits estimate
+the likeness, and a pair whose estimate is SIGMAS standard errors below the wanted likeness is not verified. Like a pair
+that shares no band, a linked pair is lost so with a chance of less than 1 in 10,000 at the very threshold, and next to
+none above it.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ from starlode.llm import common, hashing
 from starlode.llm.common import written
 from starlode.llm.components import connected
 
-STARS = 8
+STARS, GROWTH, MOST_STARS = 8, 8, 512
+#: Standard errors that an estimate may lie below the wanted likeness.
+SIGMAS = 4
 #: Bits of a membership sketch: a fixed size, whatever the input. A false hit only lets a row through to an exact join.
 SKETCH_BITS = 1 << 24
 
@@ -30,7 +38,7 @@ def sketch(keys: DataFrame) -> np.ndarray:
     slot = F.pmod(F.col(keys.columns[0]), F.lit(SKETCH_BITS)) + 1
     rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     out = np.zeros((SKETCH_BITS // 32768, 4096), np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # SKETCH_BITS / 8 bytes at most
         out[row["k"] - 1] = np.frombuffer(row["m"], np.uint8)
     return out.reshape(-1)
 
@@ -54,8 +62,13 @@ def in_sketch(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def sketch_columns(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c[0] == "s" and c[1:].isdigit()]
+
+
 def shared_bands(items: DataFrame) -> DataFrame:
-    """(bucket, item, n, first) for every bucket with two items or more, from items (item, n, bands)."""
+    """(bucket, item, n, first, sketch) for every bucket with two items or more, from items (item, n, bands, sketch)."""
+    marks = sketch_columns(items)
     rows = items.select("item", F.explode("bands").alias("bucket"))
     shared = written(rows.groupBy("bucket").agg(F.min("item").alias("first"), F.max("item").alias("last")).where("first < last").select("bucket", "first"), "buckets")
     bits = items.sparkSession.sparkContext.broadcast(sketch(shared.select("bucket")))
@@ -67,10 +80,11 @@ def shared_bands(items: DataFrame) -> DataFrame:
             flat = bands.flatten().to_numpy()
             keep = hits(bits.value, flat)
             row = np.repeat(np.arange(batch.num_rows), counts)[keep]
-            yield common.batch_of(bucket=pa.array(flat[keep]), item=batch.column("item").take(pa.array(row)), n=batch.column("n").take(pa.array(row)))
+            yield common.batch_of(bucket=pa.array(flat[keep]), **{c: batch.column(c).take(pa.array(row)) for c in ("item", "n", *marks)})
 
     common.prepare(items.sparkSession)
-    found = items.where("bands is not null").select("item", "n", "bands").mapInArrow(run, "bucket long, item long, n long")
+    schema = "bucket long, item long, n long" + "".join(f", {c} long" for c in marks)
+    found = items.where("bands is not null").select("item", "n", "bands", *marks).mapInArrow(run, schema)
     return written(found.join(shared, "bucket").distinct(), "members")
 
 
@@ -79,28 +93,61 @@ def sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
+    """Whether two items may be as like as wanted: by their sizes, and by their sketches if there are any.
+
+    The columns of the second item have a prefix. An estimate's standard error at likeness p is that of a share of equal
+    bits of (1 + p) / 2, doubled, over as many independent bits as there are, or as the smaller set has shingles.
+    """
+    fits = sizes_fit("n", f"{prefix}n", percent)
+    if not marks:
+        return fits
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{prefix}{c}"))) for c in marks), F.lit(0))
+    bits, share = 64 * len(marks), (1 + percent / 100) / 2
+    slack = SIGMAS * 2 * (share * (1 - share)) ** 0.5 / F.sqrt(F.least(F.col("n"), F.col(f"{prefix}n"), F.lit(bits)))
+    return fits & (1 - differing * (2 / bits) >= percent / 100 - slack)
+
+
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of all items that have a verified link; verify gives (a, b, ok) for pairs (a, b)."""
-    firsts = members.where("item = first").select("bucket", F.col("n").alias("first_n"))
-    pairs = members.where("item != first").join(firsts, "bucket").where(sizes_fit("n", "first_n", percent)).select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
+    marks = sketch_columns(members)
+    own = ["item", "n", *marks]
+    firsts = members.where("item = first").select("bucket", *[F.col(c).alias(f"c_{c}") for c in own])
+    pairs = members.where("item != first").join(firsts, "bucket").where(near_enough(marks, "c_", percent)).select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
     tested = written(verify(pairs), "tested")
-    rest = members.where("item != first").select("bucket", "item", "n")
+    labels = connected(tested.where("ok"))
+    rest = members.where("item != first").select("bucket", *own)
+    stars = STARS
     while True:
-        labels = connected(tested.where("ok"))
-        known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", "n", F.coalesce("component", "item").alias("part"))
+        known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", *own, F.coalesce("component", "item").alias("part"))
         active = known.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
         rest = written(known.join(active, "bucket"), "active")
         if rest.isEmpty():
             return labels
         size = rest.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-        star = F.min(F.struct("size", "item", "n", "part")).alias("c")
-        centres = rest.join(size, ["bucket", "part"]).groupBy("bucket", F.pmod(F.hash("item"), F.lit(STARS)).alias("class")).agg(star)
-        centres = written(centres.select("bucket", F.col("c.item").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.part").alias("centre_part")), "centres")
-        met = rest.join(centres, "bucket").where((F.col("part") != F.col("centre_part")) & sizes_fit("n", "centre_n", percent))
-        pairs = met.select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b")).distinct()
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.unionAll(written(verify(pairs), "tested"))
-        rest = rest.select("bucket", "item", "n").join(centres.select("bucket", F.col("centre").alias("item")), ["bucket", "item"], "left_anti")
+        star = F.min(F.struct("size", *own, "part")).alias("c")
+        centres = rest.join(size, ["bucket", "part"]).groupBy("bucket", F.pmod(F.hash("item"), F.lit(stars)).alias("class")).agg(star)
+        centres = written(centres.select("bucket", *[F.col(f"c.{c}").alias(f"c_{c}") for c in (*own, "part")]), "centres")
+        met = rest.join(centres, "bucket").where((F.col("part") != F.col("c_part")) & near_enough(marks, "c_", percent))
+        pairs = met.select(F.least("item", "c_item").alias("a"), F.greatest("item", "c_item").alias("b")).distinct()
+        fresh = written(verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
+        tested = tested.unionAll(fresh)
+        if not fresh.where("ok").isEmpty():
+            labels = merged(labels, fresh.where("ok"))
+        rest = rest.select("bucket", *own).join(centres.select("bucket", F.col("c_item").alias("item")), ["bucket", "item"], "left_anti")
+        stars = min(stars * GROWTH, MOST_STARS)
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after further edges (a, b): only components that edges join are looked at, and those they make."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    ends = edges.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    parts = ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = connected(parts)
+    moved = labels.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # A component's label is one of its nodes, so that nodes without a label so far are those of joined that labels lacks.
+    new = joined.join(labels.select("node"), "node", "left_anti")
+    return written(moved.unionAll(new), "labels")
 
 
 def verified(pairs: DataFrame, payload: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:

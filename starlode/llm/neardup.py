@@ -27,6 +27,9 @@ SHINGLE = 5
 PERCENT = 80
 #: A pair of likeness 0.8 shares none of 30 bands of 5 rows with a chance of 7 in a million.
 BANDS, ROWS = 30, 5
+#: Bits of the sketch that tells candidates far below the likeness from the others.
+SKETCH = 512
+MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Attempts of densification by hashing; a bin still empty then (a set of very few shingles) takes the next full bin.
 ATTEMPTS = 256
 
@@ -65,8 +68,14 @@ def one_permutation(values: np.ndarray, counts: np.ndarray, bins: int) -> np.nda
     return out.reshape(-1, bins)
 
 
+def sketches(values: np.ndarray, counts: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """One bit of each of ``size`` further signature entries, in 64-bit words."""
+    bits = one_permutation(values, counts, size) & np.uint32(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set, and its band keys (null for an empty set)."""
+    """doc_id, n_shingles, two 64-bit sums that name the set, its band keys (null for an empty set) and its sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, counts = shingle_sets(batch.column("text"), shingle)
@@ -76,9 +85,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
         sums = [np.append(np.cumsum(hashing.mix(values + hashing.U(i)), dtype=hashing.U), 0)[at - 1] for i in (1, 2)]
         names = [hashing.signed(s[1:] - s[:-1]) for s in sums]
         lists = [k if c else None for k, c in zip(keys, counts.tolist(), strict=True)]
-        return common.batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array(counts, pa.int64()), k1=pa.array(names[0]), k2=pa.array(names[1]), bands=pa.array(lists, pa.list_(pa.int64())))
+        marks = sketches(values, counts)
+        return common.batch_of(
+            doc_id=batch.column("doc_id"), n_shingles=pa.array(counts, pa.int64()), k1=pa.array(names[0]), k2=pa.array(names[1]),
+            bands=pa.array(lists, pa.list_(pa.int64())), **{c: pa.array(marks[:, i]) for i, c in enumerate(MARKS)},
+        )
 
-    return common.map_slices(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>" + "".join(f", {c} long" for c in MARKS)
+    return common.map_slices(docs.select("doc_id", "text"), run, schema)
 
 
 def link_texts(items: DataFrame, docs: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
@@ -93,9 +107,9 @@ def link_texts(items: DataFrame, docs: DataFrame, sets: Callable[[pa.Array], tup
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     table = written(signatures(docs, shingle, bands, rows), "signatures")
-    classes = table.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = table.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in MARKS])
     classes = written(classes, "classes")
-    labels = link_texts(classes.select("item", "n", "bands"), docs, partial(shingle_sets, k=shingle), percent)
+    labels = link_texts(classes.select("item", "n", "bands", *MARKS), docs, partial(shingle_sets, k=shingle), percent)
     named = classes.join(labels.withColumnRenamed("node", "item"), "item", "left").select("k1", "k2", F.coalesce("component", "item").alias("component"))
     rows_ = table.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
