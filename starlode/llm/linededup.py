@@ -20,13 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlode.llm import common, hashing, links
+from starlode.llm import common, hashing, links, neardup
 from starlode.llm.common import written
 
 SHINGLE = 8
 PERCENT = 80
 #: A pair of likeness 0.8 shares none of 10 bands of 3 rows with a chance of 8 in 10,000; of 0.9, 2 in a million.
 BANDS, ROWS, SEED = 10, 3, 11
+#: Bits of the sketch that tells candidates far below the likeness from the others.
+SKETCH = 256
+MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Lines that a task remembers so as not to sign them again.
 SEEN = 200_000
 
@@ -53,7 +56,8 @@ def line_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, h (hash of the whole text), pos, id and, where the task meets the line first, its band keys."""
+    """doc_id, h (hash of the whole text), pos, id and, where the task meets the line first, its number of shingles, band
+    keys and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -76,18 +80,22 @@ def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROW
                 continue
             values, counts = hashing.char_shingles(*codes_of(fresh), k)
             keys = hashing.signed(hashing.band_keys(hashing.minhash(values, counts, bands * rows, SEED), rows))
-            lists: list = [None] * len(ids)
-            for at, key in zip(keys_at, keys, strict=True):
-                lists[at] = key
+            own, sizes = hashing.distinct(values, counts)
+            marks = neardup.sketches(own.astype(hashing.U) << hashing.U(32), sizes, SKETCH)
+            place = np.full(len(ids), -1)
+            place[keys_at] = np.arange(len(keys_at))
+            spread = pa.array(place, mask=place < 0)
+            lists = pa.array(list(keys), pa.list_(pa.int64())).take(spread)
             take = pa.array(row, pa.int64())
             yield common.batch_of(
                 doc_id=batch.column("doc_id").take(take), h=batch.column("h").take(take), pos=pa.array(pos, pa.int32()),
-                id=pa.array(ids, pa.int64()), bands=pa.array(lists, pa.list_(pa.int64())),
+                id=pa.array(ids, pa.int64()), n=pa.array(sizes.astype(np.int64)).take(spread), bands=lists,
+                **{c: pa.array(marks[:, i]).take(spread) for i, c in enumerate(MARKS)},
             )
 
     common.prepare(docs.sparkSession)
     named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return named.mapInArrow(run, "doc_id long, h long, pos int, id long, bands array<long>")
+    return named.mapInArrow(run, "doc_id long, h long, pos int, id long, n long, bands array<long>" + "".join(f", {c} long" for c in MARKS))
 
 
 def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,7 +124,7 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, h, pos) of every line that goes."""
     table = written(lines(docs, k), "lines")
-    items = table.where("bands is not null").select(F.col("id").alias("item"), F.lit(1).cast("long").alias("n"), "bands")
+    items = table.where("bands is not null").select(F.col("id").alias("item"), "n", "bands", *MARKS)
     members = links.shared_bands(items)
     ids = written(members.select("item").distinct(), "candidates")
     payload = written(line_texts(docs, ids), "texts")
