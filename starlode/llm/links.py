@@ -26,7 +26,7 @@ from starlode.llm import common, hashing
 from starlode.llm.common import written
 from starlode.llm.components import connected
 
-STARS, GROWTH, MOST_STARS = 8, 8, 512
+STARS, GROWTH, MOST_STARS = 8, 16, 2048
 #: Standard errors that an estimate may lie below the wanted likeness.
 SIGMAS = 4
 #: Bits of a membership sketch: a fixed size, whatever the input. A false hit only lets a row through to an exact join.
@@ -120,13 +120,13 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent
     stars = STARS
     while True:
         known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", *own, F.coalesce("component", "item").alias("part"))
-        active = known.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-        rest = written(known.join(active, "bucket"), "active")
+        parts = written(known.groupBy("bucket", "part").agg(F.count("*").alias("size")), "parts")
+        mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
+        rest = written(known.join(parts.join(mixed, "bucket", "left_semi"), ["bucket", "part"]), "active")
         if rest.isEmpty():
             return labels
-        size = rest.groupBy("bucket", "part").agg(F.count("*").alias("size"))
         star = F.min(F.struct("size", *own, "part")).alias("c")
-        centres = rest.join(size, ["bucket", "part"]).groupBy("bucket", F.pmod(F.hash("item"), F.lit(stars)).alias("class")).agg(star)
+        centres = rest.groupBy("bucket", F.pmod(F.hash("item"), F.lit(stars)).alias("class")).agg(star)
         centres = written(centres.select("bucket", *[F.col(f"c.{c}").alias(f"c_{c}") for c in (*own, "part")]), "centres")
         met = rest.join(centres, "bucket").where((F.col("part") != F.col("c_part")) & near_enough(marks, "c_", percent))
         pairs = met.select(F.least("item", "c_item").alias("a"), F.greatest("item", "c_item").alias("b")).distinct()
@@ -153,7 +153,7 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, payload: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
     """(a, b, ok) by exact Jaccard likeness of whole shingle sets.
 
-    payload is (item, text); sets gives the sorted distinct shingles of each text, and their numbers. A text that occurs
+    payload is (item, text), where an item with several texts gives a row for each; sets gives the sorted distinct shingles of each text, and their numbers. A text that occurs
     in many pairs of a slice is shingled once.
     """
 
@@ -172,5 +172,4 @@ def verified(pairs: DataFrame, payload: DataFrame, sets: Callable[[pa.Array], tu
 
     right = pairs.join(payload.select(F.col("item").alias("b"), F.col("text").alias("tb")), "b")
     whole = right.join(payload.select(F.col("item").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    found = common.map_slices(whole, run, "a long, b long, ok boolean", column="tb")
-    return found.groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    return common.map_slices(whole, run, "a long, b long, ok boolean", column="tb")
