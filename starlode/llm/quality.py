@@ -24,9 +24,11 @@ from starlode.llm.common import held_out
 
 HASHED = 1 << 18
 #: Bound of the training sample: so many labelled documents, those of the least hash of doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Training uses one stretch of a labelled text of at most so many characters; scores use whole texts.
 STRETCH = 4000
+#: Texts whose indicators are found at once in training, which bounds the driver's memory.
+TRAIN_ROWS = 100
 COST = 1.0
 EPOCHS = 15
 THRESHOLD = 0.3
@@ -104,16 +106,21 @@ class Fitted:
         return self.model.scores(slots, counts, self.ratios)
 
 
+def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each row's values, by itself, so that it does not depend on the rows around it."""
+    out = np.zeros(len(counts))
+    full = counts > 0
+    if full.any():
+        out[full] = np.add.reduceat(values.astype(np.float64), (np.cumsum(counts) - counts)[full])
+    return out
+
+
 def lengths(slots: np.ndarray, counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    sums = np.append(0, np.cumsum(ratios[slots] ** 2))
-    at = hashing.bounds_of(counts)
-    return np.sqrt(np.maximum(sums[at[1:]] - sums[at[:-1]], 1e-12))
+    return np.sqrt(np.maximum(row_sums(ratios[slots] ** 2, counts), 1e-12))
 
 
 def margins(weights: np.ndarray, slots: np.ndarray, counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    sums = np.append(0, np.cumsum((weights * ratios)[slots]))
-    at = hashing.bounds_of(counts)
-    return (sums[at[1:]] - sums[at[:-1]]) / lengths(slots, counts, ratios)
+    return row_sums((weights * ratios)[slots], counts) / lengths(slots, counts, ratios)
 
 
 def log_count_ratios(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -127,9 +134,9 @@ def dual_coordinate_descent(slots: np.ndarray, counts: np.ndarray, labels: np.nd
     at, size = hashing.bounds_of(counts), lengths(slots, counts, ratios)
     sign = np.where(labels == 1, 1.0, -1.0)
     share = np.where(labels == 1, len(labels) / max(2 * (labels == 1).sum(), 1), len(labels) / max(2 * (labels == 0).sum(), 1))
-    values = ratios[slots] / np.repeat(size, counts)
+    values = (ratios[slots] / np.repeat(size, counts)).astype(np.float32)
     alpha, weights, bias = np.zeros(len(labels)), np.zeros(HASHED), 0.0
-    norm = np.add.reduceat(np.append(values**2, 0), np.minimum(at[:-1], len(values))) * (counts > 0) + 1
+    norm = row_sums(values**2, counts) + 1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(labels)).tolist():
@@ -166,7 +173,8 @@ def train(texts: list[str], labels: list[int]) -> Fitted | float:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    slots, counts = indicators(pa.array(texts, pa.string()))
+    parts = [indicators(pa.array(texts[a : a + TRAIN_ROWS], pa.string())) for a in range(0, len(texts), TRAIN_ROWS)]
+    slots, counts = np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
     ratios = log_count_ratios(slots, counts, y)
     weights, bias = dual_coordinate_descent(slots, counts, y, ratios)
     slope, offset = platt(margins(weights, slots, counts, ratios) + bias, y)
