@@ -35,6 +35,17 @@ def held_out(modulus: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
+HASH_RANGE = 1 << 30
+
+
+def least_hashed(rows: DataFrame, salt: str, counted: DataFrame, sample: int) -> DataFrame:
+    """rows with a hash of doc_id as ``key``, without those that cannot be among the ``sample`` least: what tasks send on
+    stays bounded by about twice the sample, however many tasks there are. ``counted`` has about the rows to choose from."""
+    n = counted.count()
+    bound = HASH_RANGE if n <= 2 * sample else int(HASH_RANGE * (2 * sample / n))
+    return rows.withColumn("key", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(HASH_RANGE))).where(F.col("key") < bound)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets (from 0) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -162,11 +162,11 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Trains on at most ``sample`` documents that are not held out, those of the least hash of doc_id."""
-    eligible = docs.where(~held_out(3, 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    key = F.xxhash64(F.col("doc_id"), F.lit("langid"))
+    named = docs.where(~held_out(3, 1) & F.col("lang").isNotNull())
+    eligible = common.least_hashed(named.where(F.length("text") > 0), "langid", named, sample)
     begin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     stretch = F.substring(F.col("text"), begin.cast("int"), F.lit(WINDOW)).alias("text")
-    rows = eligible.select(key.alias("key"), "lang", stretch).orderBy("key", "lang", "text").limit(sample).collect()
+    rows = eligible.select("key", "lang", stretch).orderBy("key", "lang", "text").limit(sample).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

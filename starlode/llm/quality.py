@@ -184,7 +184,7 @@ def train(texts: list[str], labels: list[int]) -> Fitted | float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted | float:
     """Trains on at most ``sample`` labelled documents that are not held out; both tables are read by the columns used."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).select("doc_id", "quality")
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "quality").limit(sample)
+    chosen = common.least_hashed(known, "quality", known, sample).orderBy("key", "doc_id", "quality").limit(sample).drop("key")
     begin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - STRETCH, F.lit(1))) + 1
     # The chosen rows are bounded by ``sample``, so that they may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), begin.cast("int"), F.lit(STRETCH)).alias("text"))
