@@ -97,14 +97,16 @@ def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
     """Whether two items may be as like as wanted: by their sizes, and by their sketches if there are any.
 
     The columns of the second item have a prefix. An estimate's standard error at likeness p is that of a share of equal
-    bits of (1 + p) / 2, doubled, over as many independent bits as there are, or as the smaller set has shingles.
+    bits of (1 + p) / 2, doubled, and 4/3 of it for the entries that bins share; sets of few shingles have 0.165 over the
+    root of their size. Both were measured for 10 to 2000 shingles and likeness 0.8: 0.051 for 10, 0.035 and less from 20.
     """
     fits = sizes_fit("n", f"{prefix}n", percent)
     if not marks:
         return fits
     differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{prefix}{c}"))) for c in marks), F.lit(0))
     bits, share = 64 * len(marks), (1 + percent / 100) / 2
-    slack = SIGMAS * 2 * (share * (1 - share)) ** 0.5 / F.sqrt(F.least(F.col("n"), F.col(f"{prefix}n"), F.lit(bits)))
+    error = F.greatest(F.lit(8 / 3 * (share * (1 - share) / bits) ** 0.5), 0.165 / F.sqrt(F.least("n", f"{prefix}n")))
+    slack = SIGMAS * error
     return fits & (1 - differing * (2 / bits) >= percent / 100 - slack)
 
 
