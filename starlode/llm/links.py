@@ -7,10 +7,9 @@ and each meets the items of the other components; a centre that has met all is d
 pair left that is neither verified nor inside one component: a hot bucket of like items costs no quadratic number of
 pairs, and none is capped or dropped.
 
-Items may carry a sketch, one bit of each of 64 * w further signature entries (columns s0 to s{w-1}): equal bits estimate
-the likeness, and a pair whose estimate is SIGMAS standard errors below the wanted likeness is not verified. Like a pair
-that shares no band, a linked pair is lost so with a chance of less than 1 in 10,000 at the very threshold, and next to
-none above it.
+Items may carry a sketch: the parity of the number of their shingles in each of 64 * w cells (columns s0 to s{w-1}). A
+cell whose parity differs holds a shingle that one of the sets lacks, so the differing bits bound the symmetric
+difference from below; a pair is spared only where this bound rules the wanted likeness out, and no link is lost so.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from starlode.llm.common import written
 from starlode.llm.components import connected
 
 STARS, GROWTH, MOST_STARS = 8, 16, 2048
-#: Standard errors that an estimate may lie below the wanted likeness.
-SIGMAS = 4
 #: Bits of a membership sketch: a fixed size, whatever the input. A false hit only lets a row through to an exact join.
 SKETCH_BITS = 1 << 24
 
@@ -94,20 +91,17 @@ def sizes_fit(a: str, b: str, percent: int) -> Column:
 
 
 def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
-    """Whether two items may be as like as wanted: by their sizes, and by their sketches if there are any.
+    """Whether two items may be as like as wanted: by their sizes, and by their sketches if there are any; exact, in that
+    no pair as like as wanted is turned down.
 
-    The columns of the second item have a prefix. An estimate's standard error at likeness p is that of a share of equal
-    bits of (1 + p) / 2, doubled, and 4/3 of it for the entries that bins share; sets of few shingles have 0.165 over the
-    root of their size. Both were measured for 10 to 2000 shingles and likeness 0.8: 0.051 for 10, 0.035 and less from 20.
+    The columns of the second item have a prefix. Sets of n and m shingles and d in their symmetric difference have a
+    likeness of (n + m - d) / (n + m + d), and at most d bits of their sketches differ.
     """
     fits = sizes_fit("n", f"{prefix}n", percent)
     if not marks:
         return fits
     differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{prefix}{c}"))) for c in marks), F.lit(0))
-    bits, share = 64 * len(marks), (1 + percent / 100) / 2
-    error = F.greatest(F.lit(8 / 3 * (share * (1 - share) / bits) ** 0.5), 0.165 / F.sqrt(F.least("n", f"{prefix}n")))
-    slack = SIGMAS * error
-    return fits & (1 - differing * (2 / bits) >= percent / 100 - slack)
+    return fits & (differing * (100 + percent) <= (F.col("n") + F.col(f"{prefix}n")) * (100 - percent))
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ SHINGLE = 5
 PERCENT = 80
 #: A pair of likeness 0.8 shares none of 30 bands of 5 rows with a chance of 7 in a million.
 BANDS, ROWS = 30, 5
-#: Bits of the sketch that tells candidates far below the likeness from the others.
+#: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
 SKETCH = 512
 MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Attempts of densification by hashing; a bin still empty then (a set of very few shingles) takes the next full bin.
@@ -69,9 +69,11 @@ def one_permutation(values: np.ndarray, counts: np.ndarray, bins: int) -> np.nda
 
 
 def sketches(values: np.ndarray, counts: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """One bit of each of ``size`` further signature entries, in 64-bit words."""
-    bits = one_permutation(values, counts, size) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+    """The parity of the number of distinct hashes in each of ``size`` cells (their top bits), in 64-bit words."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    cell = (values >> hashing.U(65 - size.bit_length())).astype(np.int64)
+    bits = np.bincount(group * size + cell, minlength=len(counts) * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
