@@ -27,7 +27,7 @@ SHINGLE = 8
 PERCENT = 80
 #: A pair of likeness 0.8 shares none of 10 bands of 3 rows with a chance of 8 in 10,000; of 0.9, 2 in a million.
 BANDS, ROWS, SEED = 10, 3, 11
-#: Bits of the sketch that tells candidates far below the likeness from the others.
+#: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
 SKETCH = 256
 MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Lines that a task remembers so as not to sign them again.
@@ -78,10 +78,10 @@ def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROW
                             fresh.append(clean)
             if not ids:
                 continue
-            values, counts = hashing.char_shingles(*codes_of(fresh), k)
-            keys = hashing.signed(hashing.band_keys(hashing.minhash(values, counts, bands * rows, SEED), rows))
-            own, sizes = hashing.distinct(values, counts)
-            marks = neardup.sketches(own.astype(hashing.U) << hashing.U(32), sizes, SKETCH)
+            # The sets that are verified later: sizes and sketches rule pairs out, so they have to be those of these sets.
+            own, sizes = hashing.distinct(*hashing.char_shingles(*codes_of(fresh), k, hashing.U))
+            keys = hashing.signed(hashing.band_keys(hashing.minhash(hashing.top32(own), sizes, bands * rows, SEED), rows))
+            marks = neardup.sketches(own, sizes, SKETCH)
             place = np.full(len(ids), -1)
             place[keys_at] = np.arange(len(keys_at))
             spread = pa.array(place, mask=place < 0)
