@@ -4,7 +4,8 @@ Documents of equal text are linked. Each starts in the shard of a hash; in each
 meet in the shard where most of its documents are, among those with room, and shards admit units (in the order of a hash)
 up to a quota: the room that is left plus half of what is about to leave. Documents of a unit and shard are alike, so the
 state is one row per unit and shard with a count. A group with many documents is split into units (see PARTS), which no
-shard's quota is too small for and which keep the rows of every join key bounded. What exceeds a shard's share in the
+shard's quota is too small for and which keep the rows of every join key bounded; they want to meet in the same shard, or
+in as few as have room for them, by the counts of the whole group. What exceeds a shard's share in the
 end, documents without links first, moves to shards below theirs: counts are at most one apart (law ``rows``).
 
 Defined results: a null text is an empty one; rows without doc_id are rows as any other; repeated rows get slots of their
@@ -28,7 +29,8 @@ ROUNDS = 6
 PARTS, SMALL_UNIT = 1024, 1000
 #: Buckets of the admission order, and of the ranks in a shard.
 BUCKETS = 256
-UNIT = ["g1", "g2", "part"]
+GROUP = ["g1", "g2"]
+UNIT = [*GROUP, "part"]
 
 
 def base_rows(docs: DataFrame, shards: int) -> DataFrame:
@@ -54,11 +56,21 @@ def propagate(cells: DataFrame, shares: list[int], rounds: int = ROUNDS) -> Data
         if not free:
             break
         room = F.array(*[F.lit(q) for q in quota])
-        tie = F.pmod(F.xxhash64(*UNIT, "shard", F.lit(number)), F.lit(1 << 20))
-        liked = F.when(room[F.col("shard")] > 0, F.struct(F.col("n"), tie, F.col("shard")))
+        # The shards of a group by its documents there, those with room only, and the sums of their rooms up to each.
+        tie = F.pmod(F.xxhash64(*GROUP, "shard", F.lit(number)), F.lit(1 << 20))
+        spread = cells.groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")).where(room[F.col("shard")] > 0)
+        order = Window.partitionBy(*GROUP).orderBy(F.desc("n"), F.desc(tie), F.desc("shard"))  # at most one row a shard
+        spread = spread.withColumn("end", F.sum(room[F.col("shard")]).over(order))
+        liked = spread.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("liked"))
         spare = F.array(*[F.lit(j) for j in free])[F.pmod(F.xxhash64(*UNIT, F.lit(number)), F.lit(len(free))).cast("int")]
-        wish = cells.groupBy(*UNIT).agg(F.sum("n").alias("all"), F.count("*").alias("places"), F.max(liked).alias("best")).where("places > 1")
-        wish = wish.select(*UNIT, "all", F.coalesce("best.shard", spare).alias("to"), F.coalesce("best.n", F.lit(0)).alias("there"))
+        own = F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("own")  # at most one entry a shard
+        wish = cells.groupBy(*UNIT).agg(F.sum("n").alias("all"), F.count("*").alias("places"), own).where("places > 1")
+        # The parts of a group fill these shards one after the other, so that they meet in as few as the group needs.
+        filled = F.sum("all").over(Window.partitionBy(*GROUP).orderBy("part"))  # a group has PARTS parts at most
+        wish = wish.withColumn("filled", filled).join(liked, GROUP, "left")
+        first = F.try_element_at(F.filter("liked", lambda x: x["end"] >= F.col("filled")), F.lit(1))
+        wish = wish.withColumn("to", F.coalesce(first["shard"], spare))
+        wish = wish.select(*UNIT, "all", "to", F.coalesce(F.try_element_at("own", F.col("to")), F.lit(0)).alias("there"))
         wish = written(wish.withColumn("bucket", F.pmod(F.xxhash64(*UNIT, F.lit("admit")), F.lit(BUCKETS))), "wishes")
         inflow = wish.groupBy("to", "bucket").agg(F.sum(F.col("all") - F.col("there")).alias("n"))  # shards * BUCKETS rows at most
         upto = F.sum("n").over(Window.partitionBy("to").orderBy("bucket"))
