@@ -1,5 +1,5 @@
 import pytest
-from conftest import same
+from comparing import same
 
 from starlode import queries
 from starlode.plans import index_path, ssb
