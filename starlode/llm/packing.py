@@ -1,10 +1,11 @@
 """Best-fit packing by hierarchical residual packing.
 
 Texts become token sequences (ids of a tokenizers file, then a separator id); sequences longer than the capacity are cut
-into pieces. Level 0 packs chunks of each partition by best fit in decreasing order. Bins that are nearly full are final;
-the others are items of the next level, where FAN nodes meet in one and are packed again, up to a single node. The slack
-that still counts as nearly full grows by SLACK_GROWTH from level to level and a node passes on at most RESIDUAL bins
-(the emptiest), so that every group that one task gets is bounded by FAN * RESIDUAL items whatever the input.
+into pieces. Level 0 packs chunks of each partition by best fit in decreasing order. Bins that are nearly full (at most
+SLACK tokens are free) are final; all others are items of the next level, where they meet in fewer nodes, dealt by a
+hash, and are packed again. A level has so many nodes that one gets about NODE_ITEMS items: where more bins stay underfull
+than a node takes, levels keep several nodes instead of closing bins. The tree ends at a single node, or when a level has
+more than half the nodes of the one before; best fit leaves at most one bin of each node half empty or more.
 
 Defined results: a null text is an empty one and gives one piece, the separator; repeated rows give their own pieces; an
 empty table gives no rows; columns other than doc_id and text are ignored.
@@ -12,11 +13,11 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,11 +28,11 @@ from starlode.llm import common
 CAPACITY = 2048
 SEPARATOR = 0
 CHUNK = 65536
-FAN = 8
-RESIDUAL = 4096
+NODE_ITEMS = 32768
 SLACK = 16
-SLACK_GROWTH = 4
 CACHE_WORDS = 500_000
+#: Bits of a bin's number: level, node, chunk of a partition, place in the node.
+LEVEL_BITS, NODE_BITS, CHUNK_BITS, PLACE_BITS = 5, 24, 14, 20
 
 
 def byte_letters() -> list[str]:
@@ -117,12 +118,15 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], l
     return bins, offsets, fill
 
 
-def passed_on(fill: list[int], slack: int, capacity: int = CAPACITY) -> set[int]:
-    """Bins that are items of the next level: not nearly full, at most RESIDUAL of them, the emptiest first."""
-    return set(sorted((b for b, n in enumerate(fill) if n < capacity - slack), key=lambda b: (fill[b], b))[:RESIDUAL])
+def bin_base(level: int, node: int, chunk: int, bins: int) -> int:
+    """The number of the first of so many bins; numbers of different levels, nodes or chunks never meet."""
+    for value, bits in ((level, LEVEL_BITS), (node, NODE_BITS), (chunk, CHUNK_BITS), (bins - 1, PLACE_BITS)):
+        if value >> bits:
+            raise ValueError(f"level {level}, node {node}, chunk {chunk} with {bins} bins is beyond what bin numbers hold")
+    return ((level << NODE_BITS | node) << CHUNK_BITS | chunk) << PLACE_BITS
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, up boolean, node long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, up boolean"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, chunk: int = CHUNK) -> DataFrame:
@@ -133,14 +137,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
 
     def flush(rows: list[tuple], number: int, part: int) -> pa.RecordBatch:
         bins, offsets, fill = best_fit([r[3] for r in rows], capacity)
-        up = passed_on(fill, SLACK, capacity)
-        first = part << 40 | number << 20
+        first = bin_base(0, part, number, len(fill))
         columns = list(zip(*rows, strict=True))
         return common.batch_of(
             doc_id=pa.array(columns[0], pa.int64()), piece=pa.array(columns[1], pa.int32()), start=pa.array(columns[2], pa.int64()),
             length=pa.array(columns[3], pa.int64()), ids_crc32=pa.array(columns[4], pa.int64()), bin=pa.array([first + b for b in bins], pa.int64()),
-            offset=pa.array(offsets, pa.int64()), fill=pa.array([fill[b] for b in bins], pa.int64()), up=pa.array([b in up for b in bins], pa.bool_()),
-            node=pa.array([part] * len(rows), pa.int64()),
+            offset=pa.array(offsets, pa.int64()), fill=pa.array([fill[b] for b in bins], pa.int64()), up=pa.array([fill[b] < capacity - SLACK for b in bins], pa.bool_()),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,35 +163,34 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     return docs.mapInArrow(run, PIECES)
 
 
-def merged(items: DataFrame, level: int, capacity: int = CAPACITY) -> DataFrame:
-    """One level of the tree: items (node, bin, fill) of each node packed anew into (bin, to, added, fill, up, node)."""
-    slack = min(SLACK * SLACK_GROWTH**level, capacity)
+def merged(items: DataFrame, level: int, nodes: int, capacity: int = CAPACITY) -> DataFrame:
+    """One level of the tree: items (bin, fill), dealt to so many nodes, packed anew into (bin, to, added, fill, up)."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin", ignore_index=True)
-        bins, offsets, fill = best_fit(frame["fill"].tolist(), capacity)
-        up, node = passed_on(fill, slack, capacity), int(frame["node"].iloc[0])
-        first = level << 58 | node << 30
-        return pd.DataFrame({
-            "bin": frame["bin"], "to": [first + b for b in bins], "added": offsets, "fill": [fill[b] for b in bins],
-            "up": [b in up for b in bins], "node": node,
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        bins, offsets, fill = best_fit(table["fill"].to_pylist(), capacity)
+        first = bin_base(level, table["node"][0].as_py(), 0, len(fill))
+        return pa.table({
+            "bin": table["bin"], "to": pa.array([first + b for b in bins], pa.int64()), "added": pa.array(offsets, pa.int64()),
+            "fill": pa.array([fill[b] for b in bins], pa.int64()), "up": pa.array([fill[b] < capacity - SLACK for b in bins], pa.bool_()),
         })
 
-    return items.groupBy("node").applyInPandas(pack, "bin long, to long, added long, fill long, up boolean, node long")
+    dealt = items.select(F.pmod(F.xxhash64("bin"), F.lit(nodes)).alias("node"), "bin", "fill")
+    return dealt.groupBy("node").applyInArrow(pack, "bin long, to long, added long, fill long, up boolean")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, chunk: int = CHUNK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, chunk: int = CHUNK, node_items: int = NODE_ITEMS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     base = common.written(pieces(docs, tokenizer, capacity, separator, chunk), "pieces")
-    items = base.where("up and offset = 0").select("node", "bin", "fill")
-    nodes = (items.agg(F.max("node")).first()[0] or 0) + 1
-    moves, level = None, 0
-    while moves is None or nodes > 1:
-        level += 1
-        nodes = -(-nodes // FAN)
-        step = common.written(merged(items.withColumn("node", F.expr(f"node div {FAN}")), level, capacity), f"level{level}")
+    items = base.where("up and offset = 0").select("bin", "fill")
+    moves, level, before = None, 0, None
+    # Every level but the last has at most half the nodes of the one before, so that LEVEL_BITS suffice for any table.
+    while moves is None or 1 < nodes <= before / 2:
+        before, level = nodes if level else math.inf, level + 1
+        nodes = max(1, -(-items.count() // node_items))
+        step = common.written(merged(items, level, nodes, capacity), f"level{level}")
         # Each packed bin is one item of the next level: its row with nothing before it stands for it.
-        items = step.where("up and added = 0").select("node", F.col("to").alias("bin"), "fill")
+        items = step.where("up and added = 0").select(F.col("to").alias("bin"), "fill")
         hop = step.select("bin", "to", "added")
         if moves is None:
             moves = hop

@@ -75,10 +75,23 @@ def test_packing(documents, texts, tokenizer, partitions, chunk):
     assert bins <= total / 2048 * 1.02 + 2 if chunk > 3 else bins <= total / 2048 * 1.15 + 2
 
 
-def test_residuals_are_bounded(monkeypatch, documents, texts, tokenizer):
-    monkeypatch.setattr(packing, "RESIDUAL", 2)
-    rows = list(texts.items())
-    verify(rows, packing.pack(documents(rows).repartition(10), PATH).collect(), tokenizer)
+def test_bin_numbers_never_meet():
+    # Partition 262,144 at level 0 and node 0 at level 1 had the same numbers once.
+    ranges = [(level, node, chunk) for level in (0, 1, 2) for node in (0, 1, 262_143, 262_144, (1 << 24) - 1) for chunk in (0, 1, (1 << 14) - 1)]
+    firsts = sorted(packing.bin_base(*r, 1 << 20) for r in ranges)
+    assert all(b - a >= 1 << 20 for a, b in zip(firsts, firsts[1:], strict=False)) and firsts[-1] + (1 << 20) < 1 << 63
+    for bad in ((32, 0, 0, 1), (0, 1 << 24, 0, 1), (0, 0, 1 << 14, 1), (0, 0, 0, (1 << 20) + 1)):
+        with pytest.raises(ValueError):
+            packing.bin_base(*bad)
+
+
+@pytest.mark.parametrize("node_items, most", [(32768, 5000), (500, 5150)])
+def test_more_than_4096_underfull_bins_meet(spark, node_items, most):
+    # Every document is a chunk and so a bin of its own; 5,000 of 1,300 tokens and as many of 700 make 5,000 sequences.
+    rows = spark.range(10_000).selectExpr("id AS doc_id", "repeat('a ', CAST(if(id < 5000, 1299, 699) AS INT)) AS text")
+    got = packing.pack(rows.repartitionByRange(8, "doc_id"), PATH, chunk=1, node_items=node_items).select("sequence_id", "length")
+    sums = [r["n"] for r in got.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
+    assert max(sums) <= 2048 and sum(sums) == 10_000_000 and len(sums) <= most
 
 
 def test_repeated_rows_rows_without_id_and_none(documents):
