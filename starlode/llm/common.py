@@ -62,13 +62,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the texts of each slice have about SLICE_BYTES at most."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the texts of each slice have about ``size`` bytes at most."""
     for batch in batches:
         _, at = text_buffer(batch.column(batch.schema.get_field_index(column)))
         start, n = 0, batch.num_rows
         while start < n:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_BYTES, side="right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + size, side="right")) - 1)
             yield batch.slice(start, min(stop, n) - start)
             start = stop
 

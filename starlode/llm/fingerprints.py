@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,25 +55,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.map_slices(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
+def bands_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, counts = neardup.shingle_sets(texts, SHINGLE)
+    minima = hashing.minhash(hashing.top32(values), counts, BANDS * ROWS, SEED)
+    return values, counts, hashing.signed(hashing.band_keys(minima, ROWS))
+
+
 def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id and class_id (the smallest doc_id reachable over verified links) of every row with a doc_id."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text")
-        keys = hashing.signed(hashing.band_keys(signature(texts, BANDS * ROWS), ROWS))
-        _, counts = neardup.shingle_sets(texts, SHINGLE)
-        lists = [k if c else None for k, c in zip(keys, counts.tolist(), strict=True)]
-        return common.batch_of(item=batch.column("doc_id"), n=pa.array(counts, pa.int64()), bands=pa.array(lists, pa.list_(pa.int64())), t1=batch.column("t1"), t2=batch.column("t2"))
-
-    own = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    rows = written(common.map_slices(own, run, "item long, n long, bands array<long>, t1 long, t2 long"), "fingerprints")
-    # Equal texts are one item; the first of them stands for all.
-    classes = written(rows.groupBy("t1", "t2").agg(F.min("item").alias("item"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    items = classes.where("n > 0").select("item", "n", "bands")
-    labels = neardup.link_texts(items, own, partial(neardup.shingle_sets, k=SHINGLE), percent)
-    named = classes.join(labels.withColumnRenamed("node", "item"), "item", "left").select("t1", "t2", F.coalesce("component", "item").alias("class_id"))
-    same = rows.select(F.col("item").alias("doc_id"), "n", "t1", "t2").join(named, ["t1", "t2"])
-    return same.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    own = docs.where("doc_id is not null").select("doc_id", "text")
+    table = written(neardup.signed(own, bands_of), "fingerprints")
+    named = neardup.set_components(own, table, SHINGLE, percent).select("k1", "k2", F.col("doc_id").alias("class_id"))
+    same = table.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    return same.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def edited(text: str, following: str) -> str:

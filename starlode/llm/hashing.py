@@ -139,11 +139,11 @@ def char_shingles(codes: np.ndarray, at: np.ndarray, k: int, kind: type = np.uin
         more = counts[short] > j
         alone[more] += (codes[at[short][more] + j].astype(kind) + kind(1)) * kind(pow(base, j + k, wide))
     value[at[short]] = alone
-    keep = np.zeros(len(codes) + 1, np.int8)
-    full = counts > 0
-    np.add.at(keep, at[:-1][full], 1)
-    np.add.at(keep, (at[:-1] + made)[full], -1)
-    value = value[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)]
+    # Of a group's places those beyond its last shingle go: at most k - 1, at its end.
+    keep = np.ones(len(codes), bool)
+    for j in range(1, k):
+        keep[at[1:][counts >= j + 1] - j] = False
+    value = value[keep]
     return (mix32 if kind is np.uint32 else mix)(value), made
 
 
@@ -170,19 +170,28 @@ def family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def minhash(values: np.ndarray, counts: np.ndarray, n: int, seed: int, block: int = 2048) -> np.ndarray:
-    """The minima of n permutations over each group of 32-bit shingle hashes; all ones for an empty group."""
-    mult, add = (x[:, None] for x in family(n, seed))
+def minhash(values: np.ndarray, counts: np.ndarray, n: int, seed: int, block: int = 1 << 16) -> np.ndarray:
+    """The minima of n permutations over each group of 32-bit shingle hashes; all ones for an empty group.
+
+    Blocks of about ``block`` values are permuted at once, and groups' minima taken by one reduction; a longer group is
+    reduced block by block.
+    """
+    mult, add = family(n, seed)
     out = np.full((len(counts), n), 0xFFFFFFFF, np.uint32)
-    at = bounds_of(counts).tolist()
-    work = np.empty((n, block), np.uint32)
-    for row in np.flatnonzero(counts).tolist():
-        for a in range(at[row], at[row + 1], block):
-            x = values[a : min(a + block, at[row + 1])]
-            part = work[:, : len(x)]
-            np.multiply(x, mult, out=part)
-            np.add(part, add, out=part)
-            np.minimum(out[row], part.min(axis=1), out=out[row])
+    at = bounds_of(counts)
+    work = np.empty(max(block, 1), np.uint32)
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + block, side="right")) - 1)
+        full = low + np.flatnonzero(counts[low:high])
+        for a in range(int(at[low]), int(at[high]), block):
+            x = values[a : min(a + block, int(at[high]))]
+            heads = np.maximum(at[full] - a, 0) if len(full) else full
+            for j in range(n):
+                part = np.multiply(x, mult[j], out=work[: len(x)])
+                part += add[j]
+                out[full, j] = np.minimum(out[full, j], np.minimum.reduceat(part, heads))
+        low = high
     return out
 
 

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact verification, union-find, one line per component.
 
 A line is what stands between newlines; its normal form is in lower case with single spaces. Lines of equal normal form
-are one item, named by a 64-bit hash of it. Of each component of lines with a likeness of PERCENT / 100 or more, only the
+are one item, named by 128 bits of a hash of it (of lines that share the first 64, one is compared with others). Of each component of lines with a likeness of PERCENT / 100 or more, only the
 first occurrence in the order (doc_id, hash of the text, position) stays, across the whole table.
 
 Defined results: blank lines always stay and are not counted; a null text stays null, an empty one empty; rows without
@@ -11,6 +11,7 @@ line); an empty table gives no rows; columns beyond the five of documents are ig
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlode.llm import common, hashing, links, neardup
+from starlode.llm import common, hashing, links
 from starlode.llm.common import written
 
 SHINGLE = 8
@@ -29,18 +30,23 @@ PERCENT = 80
 BANDS, ROWS, SEED = 10, 3, 11
 #: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
 SKETCH = 256
-MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Lines that a task remembers so as not to sign them again.
 SEEN = 200_000
+#: Bytes of text whose lines are signed at once, some 100 bytes of memory for each.
+LINE_BYTES = 1 << 19
+NAME = struct.Struct("<qq")
 
 
 def normal(line: str) -> str:
+    # Lines of printable characters (the space is the only white space among these) with single spaces are quick to see.
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line.lower()
     return " ".join(line.lower().split())
 
 
-def line_id(text: str) -> int:
-    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
+def line_name(text: str) -> tuple[int, int]:
+    """Two 64-bit numbers, which together name a line."""
+    return NAME.unpack(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,83 +62,86 @@ def line_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, h (hash of the whole text), pos, id and, where the task meets the line first, its number of shingles, band
-    keys and sketch."""
+    """doc_id, h (hash of the whole text), pos, id, id2 and, where the task meets the line first, its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in common.slices(batches):
-            texts = batch.column("text").to_pylist()
-            row, pos, ids, fresh, keys_at = [], [], [], [], []
-            for i, text in enumerate(texts):
+        for batch in common.slices(batches, size=LINE_BYTES):
+            row, pos, names, fresh, fresh_at = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 for p, line in enumerate((text or "").split("\n")):
                     if clean := normal(line):
                         row.append(i)
                         pos.append(p)
-                        ids.append(line_id(clean))
-                        if ids[-1] not in seen:
+                        names.append(line_name(clean))
+                        if names[-1][0] not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
-                            seen.add(ids[-1])
-                            keys_at.append(len(ids) - 1)
+                            seen.add(names[-1][0])
+                            fresh_at.append(len(names) - 1)
                             fresh.append(clean)
-            if not ids:
+            if not names:
                 continue
-            # The sets that are verified later: sizes and sketches rule pairs out, so they have to be those of these sets.
-            own, sizes = hashing.distinct(*hashing.char_shingles(*codes_of(fresh), k, hashing.U))
-            keys = hashing.signed(hashing.band_keys(hashing.minhash(hashing.top32(own), sizes, bands * rows, SEED), rows))
-            marks = neardup.sketches(own, sizes, SKETCH)
-            place = np.full(len(ids), -1)
-            place[keys_at] = np.arange(len(keys_at))
-            spread = pa.array(place, mask=place < 0)
-            lists = pa.array(list(keys), pa.list_(pa.int64())).take(spread)
-            take = pa.array(row, pa.int64())
+            values, counts = hashing.char_shingles(*codes_of(fresh), k)
+            keys = hashing.signed(hashing.band_keys(hashing.minhash(values, counts, bands * rows, SEED), rows))
+            place = np.full(len(names), -1)
+            place[fresh_at] = np.arange(len(fresh_at))
+            flat = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, keys.reshape(-1))
+            take, both = pa.array(row, pa.int64()), np.array(names, np.int64)
             yield common.batch_of(
                 doc_id=batch.column("doc_id").take(take), h=batch.column("h").take(take), pos=pa.array(pos, pa.int32()),
-                id=pa.array(ids, pa.int64()), n=pa.array(sizes.astype(np.int64)).take(spread), bands=lists,
-                **{c: pa.array(marks[:, i]).take(spread) for i, c in enumerate(MARKS)},
+                id=pa.array(both[:, 0]), id2=pa.array(both[:, 1]), bands=flat.take(pa.array(place, mask=place < 0)),
             )
 
     common.prepare(docs.sparkSession)
     named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return named.mapInArrow(run, "doc_id long, h long, pos int, id long, n long, bands array<long>" + "".join(f", {c} long" for c in MARKS))
+    return named.mapInArrow(run, "doc_id long, h long, pos int, id long, id2 long, bands array<long>")
 
 
-def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(item, text) of the lines whose id is among ids (item)."""
+def line_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(item, id2, n, sketch, text) of the lines whose first name is among ids (item); one line for each of these."""
     bits = docs.sparkSession.sparkContext.broadcast(links.sketch(ids))
+    kinds = "id2 long, " + links.payload_schema(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, size=LINE_BYTES):
             found = [c for text in batch.column("text").to_pylist() for line in (text or "").split("\n") if (c := normal(line))]
-            values = np.array([line_id(c) for c in found], np.int64)
-            out: dict[int, str] = {}
-            for i in np.flatnonzero(links.hits(bits.value, values)).tolist():
-                if (v := int(values[i])) not in seen:
+            if not found:
+                continue
+            names = np.array([line_name(c) for c in found], np.int64)
+            fresh: dict[int, int] = {}
+            for i in np.flatnonzero(links.hits(bits.value, names[:, 0])).tolist():
+                if (v := int(names[i, 0])) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(v)
-                    out[v] = found[i]
-            yield common.batch_of(item=pa.array(list(out), pa.int64()), text=pa.array(list(out.values()), pa.string()))
+                    fresh[v] = i
+            at = list(fresh.values())
+            texts = pa.array([found[i] for i in at], pa.string())
+            yield common.batch_of(id2=pa.array(names[at, 1]), item=pa.array(names[at, 0]), **links.attributes_of(*line_sets(texts, k), SKETCH), text=texts)
 
     common.prepare(docs.sparkSession)
-    texts = docs.where("doc_id is not null").select("text").mapInArrow(run, "item long, text string")
-    return texts.join(ids, "item", "left_semi").groupBy("item").agg(F.min("text").alias("text"))
+    texts = docs.where("doc_id is not null").select("text").mapInArrow(run, kinds)
+    return texts.join(ids, "item", "left_semi").dropDuplicates(["item"])
 
 
 def repeated_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, h, pos) of every line that goes."""
     table = written(lines(docs, k), "lines")
-    items = table.where("bands is not null").select(F.col("id").alias("item"), "n", "bands", *MARKS)
-    members = links.shared_bands(items)
-    ids = written(members.select("item").distinct(), "candidates")
-    payload = written(line_texts(docs, ids), "texts")
-    labels = links.linked(members, partial(links.verified, payload=payload, sets=partial(line_sets, k=k), percent=percent), percent)
-    occurrences = table.select("doc_id", "h", "pos", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "h", "pos", F.coalesce("component", "id").alias("part"))
+    members = links.shared_bands(table.select(F.col("id").alias("item"), "bands"))
+    payload = written(line_texts(docs, members.select("item").distinct(), k), "texts")
+    labels = links.linked(members, payload, partial(line_sets, k=k), percent)
+    named = written(payload.select(F.col("item").alias("id"), "id2").join(labels.withColumnRenamed("node", "id"), "id"), "named")
+    # Most lines occur once and are in no component; only the occurrences of the others are looked at again.
+    rows = table.select("doc_id", "h", "pos", "id", "id2")
+    often = rows.groupBy("id", "id2").agg(F.count("*").alias("times")).join(named, ["id", "id2"], "left").where("times > 1 or component is not null")
+    # A component bears the first name of one of its lines; the second name tells it from a line by itself.
+    often = written(often.select("id", "id2", F.coalesce("component", "id").alias("part"), F.when(F.col("component").isNull(), F.col("id2")).otherwise(0).alias("part2")), "often")
     place = F.struct("doc_id", "h", "pos")
-    firsts = occurrences.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("part", "first")
-    return occurrences.join(firsts, "part").where(place != F.col("first")).select("doc_id", "h", "pos")
+    found = written(links.in_sketch(rows, "id", often.select("id")).join(often, ["id", "id2"]).select("part", "part2", place.alias("place")), "occurrences")
+    firsts = written(found.groupBy("part", "part2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("part", "part2", "first"), "firsts")
+    return found.join(firsts, ["part", "part2"]).where("place != first").select("place.*")
 
 
 CLEANED = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_kept int"

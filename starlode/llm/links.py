@@ -1,15 +1,14 @@
 """Links between items that share a band of their signatures: star-shaped candidates, exact verification, no lost pair.
 
-Every bucket (equal band keys) first sends one edge from each item to the bucket's smallest item: pair counts are linear
-in the rows. Edges are verified on the full sets. Where a bucket still holds items of several components, further items
-become centres, up to STARS in a round (GROWTH times as many in each next one), those of the smallest components first,
-and each meets the items of the other components; a centre that has met all is done. The rounds end when no bucket has a
-pair left that is neither verified nor inside one component: a hot bucket of like items costs no quadratic number of
-pairs, and none is capped or dropped.
-
-Items may carry a sketch: the parity of the number of their shingles in each of 64 * w cells (columns s0 to s{w-1}). A
-cell whose parity differs holds a shingle that one of the sets lacks, so the differing bits bound the symmetric
-difference from below; a pair is spared only where this bound rules the wanted likeness out, and no link is lost so.
+Every bucket (equal band keys) has two centres, and each of its items meets both: pair counts are linear in the rows. Pairs
+are verified on the full sets, and linked items become components. Only in buckets that then still hold items of several
+components do the items that are no centres meet each other, and only across components: a hot bucket of like items costs
+no quadratic number of pairs, and no pair is capped or dropped. So each pair that shares a band is verified, or ruled out
+by an exact bound, or inside one component.
+
+The bound: an item has a sketch, the parity of the number of its shingles in each of 64 * w cells (columns s0 to s{w-1}).
+A cell whose parity differs holds a shingle that one of the sets lacks, so the differing bits bound the symmetric
+difference from below; a pair is spared only where sizes or this bound rule the wanted likeness out.
 """
 
 from __future__ import annotations
@@ -25,10 +24,11 @@ from starlode.llm import common, hashing
 from starlode.llm.common import written
 from starlode.llm.components import connected
 
-STARS, GROWTH, MOST_STARS = 8, 16, 2048
 #: Bits of a membership sketch: a fixed size, whatever the input. A false hit only lets a row through to an exact join.
 SKETCH_BITS = 1 << 24
 
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
 
 def sketch(keys: DataFrame) -> np.ndarray:
     """A bitmap of SKETCH_BITS bits of the (only) long column's values, built by partial aggregation."""
@@ -59,15 +59,16 @@ def in_sketch(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def sketch_columns(frame: DataFrame) -> list[str]:
-    return [c for c in frame.columns if c[0] == "s" and c[1:].isdigit()]
-
-
 def shared_bands(items: DataFrame) -> DataFrame:
-    """(bucket, item, n, first, sketch) for every bucket with two items or more, from items (item, n, bands, sketch)."""
-    marks = sketch_columns(items)
-    rows = items.select("item", F.explode("bands").alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.min("item").alias("first"), F.max("item").alias("last")).where("first < last").select("bucket", "first"), "buckets")
+    """(bucket, item, c0, c1) for every bucket with two items or more, from items (item, bands), which may be repeated.
+
+    The centres c0 and c1 are the items of the least and the largest number after mixing with the bucket's bits, so that
+    an item is not the centre of all its buckets; both come from plain numbers, which tasks aggregate before the shuffle.
+    """
+    rows = items.where("bands is not null").select("item", F.explode("bands").alias("bucket"))
+    mixed, bucket = F.col("item").bitwiseXOR(F.col("bucket")), F.col("bucket")
+    found = rows.groupBy("bucket").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo < hi")
+    shared = written(found.select("bucket", F.col("lo").bitwiseXOR(bucket).alias("c0"), F.col("hi").bitwiseXOR(bucket).alias("c1")), "buckets")
     bits = items.sparkSession.sparkContext.broadcast(sketch(shared.select("bucket")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +78,33 @@ def shared_bands(items: DataFrame) -> DataFrame:
             flat = bands.flatten().to_numpy()
             keep = hits(bits.value, flat)
             row = np.repeat(np.arange(batch.num_rows), counts)[keep]
-            yield common.batch_of(bucket=pa.array(flat[keep]), **{c: batch.column(c).take(pa.array(row)) for c in ("item", "n", *marks)})
+            yield common.batch_of(bucket=pa.array(flat[keep]), item=batch.column("item").take(pa.array(row)))
 
     common.prepare(items.sparkSession)
-    schema = "bucket long, item long, n long" + "".join(f", {c} long" for c in marks)
-    found = items.where("bands is not null").select("item", "n", "bands", *marks).mapInArrow(run, schema)
-    return written(found.join(shared, "bucket").distinct(), "members")
+    likely = items.where("bands is not null").select("item", "bands").mapInArrow(run, "bucket long, item long")
+    return written(likely.distinct().join(shared, "bucket"), "members")
+
+
+def sketch_columns(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c[0] == "s" and c[1:].isdigit()]
+
+
+def parities(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The parity of the number of distinct hashes in each of ``size`` cells (their top bits), in 64-bit words."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    cell = (values >> hashing.U(65 - size.bit_length())).astype(np.int64)
+    bits = np.bincount(group * size + cell, minlength=len(counts) * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
+
+
+def attributes_of(values: np.ndarray, counts: np.ndarray, size: int) -> dict[str, pa.Array]:
+    """Set size (n) and sketch columns of sorted distinct shingles."""
+    marks = parities(values, counts, size)
+    return {"n": pa.array(counts.astype(np.int64))} | {f"s{i}": pa.array(marks[:, i]) for i in range(size // 64)}
+
+
+def payload_schema(size: int) -> str:
+    return "item long, n long" + "".join(f", s{i} long" for i in range(size // 64)) + ", text string"
 
 
 def sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -104,34 +126,31 @@ def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
     return fits & (differing * (100 + percent) <= (F.col("n") + F.col(f"{prefix}n")) * (100 - percent))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of all items that have a verified link; verify gives (a, b, ok) for pairs (a, b)."""
-    marks = sketch_columns(members)
-    own = ["item", "n", *marks]
-    firsts = members.where("item = first").select("bucket", *[F.col(c).alias(f"c_{c}") for c in own])
-    pairs = members.where("item != first").join(firsts, "bucket").where(near_enough(marks, "c_", percent)).select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
-    tested = written(verify(pairs), "tested")
+def linked(members: DataFrame, payload: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(node, component) of all items that have a verified link; a component is named by its least item.
+
+    members is what ``shared_bands`` gives; payload has (item, n, sketch, text) of every item there.
+    """
+    marks = sketch_columns(payload)
+    own = payload.select("item", "n", *marks)
+    other = own.select(*[F.col(c).alias(f"c_{c}") for c in own.columns])
+    near = near_enough(marks, "c_", percent)
+    ends = F.explode(F.array("c0", "c1")).alias("c_item")
+    star = members.select("item", ends).where("item != c_item").select(F.least("item", "c_item").alias("item"), F.greatest("item", "c_item").alias("c_item")).distinct()
+    pairs = star.join(own, "item").join(other, "c_item").where(near).select(F.col("item").alias("a"), F.col("c_item").alias("b"))
+    tested = written(verified(pairs, payload, sets, percent), "tested")
     labels = connected(tested.where("ok"))
-    rest = members.where("item != first").select("bucket", *own)
-    stars = STARS
-    while True:
-        known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", *own, F.coalesce("component", "item").alias("part"))
-        parts = written(known.groupBy("bucket", "part").agg(F.count("*").alias("size")), "parts")
-        mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
-        rest = written(known.join(parts.join(mixed, "bucket", "left_semi"), ["bucket", "part"]), "active")
-        if rest.isEmpty():
-            return labels
-        star = F.min(F.struct("size", *own, "part")).alias("c")
-        centres = rest.groupBy("bucket", F.pmod(F.hash("item"), F.lit(stars)).alias("class")).agg(star)
-        centres = written(centres.select("bucket", *[F.col(f"c.{c}").alias(f"c_{c}") for c in (*own, "part")]), "centres")
-        met = rest.join(centres, "bucket").where((F.col("part") != F.col("c_part")) & near_enough(marks, "c_", percent))
-        pairs = met.select(F.least("item", "c_item").alias("a"), F.greatest("item", "c_item").alias("b")).distinct()
-        fresh = written(verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
-        tested = tested.unionAll(fresh)
-        if not fresh.where("ok").isEmpty():
-            labels = merged(labels, fresh.where("ok"))
-        rest = rest.select("bucket", *own).join(centres.select("bucket", F.col("c_item").alias("item")), ["bucket", "item"], "left_anti")
-        stars = min(stars * GROWTH, MOST_STARS)
+    # Each pair with a centre is done; the other items of a bucket meet across components.
+    rest = members.where("item != c0 and item != c1").select("bucket", "item")
+    known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
+    known = written(known.join(own, "item"), "known")
+    mixed = known.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
+    active = written(known.join(mixed, "bucket"), "active")
+    second = active.select("bucket", F.col("part").alias("c_part"), *[F.col(c).alias(f"c_{c}") for c in own.columns])
+    met = active.join(second, "bucket").where((F.col("item") < F.col("c_item")) & (F.col("part") != F.col("c_part")) & near)
+    pairs = met.select(F.col("item").alias("a"), F.col("c_item").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = written(verified(pairs, payload, sets, percent).where("ok"), "tested")
+    return labels if fresh.isEmpty() else merged(labels, fresh)
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,10 +165,10 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(moved.unionAll(new), "labels")
 
 
-def verified(pairs: DataFrame, payload: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+def verified(pairs: DataFrame, payload: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(a, b, ok) by exact Jaccard likeness of whole shingle sets.
 
-    payload is (item, text), where an item with several texts gives a row for each; sets gives the sorted distinct shingles of each text, and their numbers. A text that occurs
+    payload has (item, text); sets gives the sorted distinct shingles of each text, and their numbers. A text that occurs
     in many pairs of a slice is shingled once.
     """
 

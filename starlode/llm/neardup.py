@@ -4,10 +4,11 @@ The shingle hashes of a text are one permutation of its set: its range is split
 signature entry, and an empty bin borrows from a non-empty one that a universal hash of (bin, attempt) selects. Texts
 with equal sets are one item, items that share a band are candidates, and links are confirmed on full sets.
 
-Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; so are
-rows without doc_id (their component is null and they are kept). A component's label is its smallest
-doc_id; rows that share a doc_id but not the text are judged row by row. Repeated rows stay repeated; an empty table gives no rows; other columns are ignored by
-``near_duplicates`` and, beyond the five of documents, by ``deduplicated``.
+Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; in
+``near_duplicates`` so are rows without doc_id (their component is null and they are kept). A component's label is its
+smallest doc_id; rows that share a doc_id but not the text are judged row by row, each by its own set. Repeated rows stay
+repeated in ``near_duplicates``, and one of them stays in ``deduplicated``, which looks at rows without doc_id as well. An
+empty table gives no rows; other columns are ignored, beyond the five of documents by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlode.llm import common, hashing, links
@@ -29,7 +30,6 @@ PERCENT = 80
 BANDS, ROWS = 30, 5
 #: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
 SKETCH = 512
-MARKS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Attempts of densification by hashing; a bin still empty then (a set of very few shingles) takes the next full bin.
 ATTEMPTS = 256
 
@@ -68,57 +68,101 @@ def one_permutation(values: np.ndarray, counts: np.ndarray, bins: int) -> np.nda
     return out.reshape(-1, bins)
 
 
-def sketches(values: np.ndarray, counts: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The parity of the number of distinct hashes in each of ``size`` cells (their top bits), in 64-bit words."""
-    group = np.repeat(np.arange(len(counts)), counts)
-    cell = (values >> hashing.U(65 - size.bit_length())).astype(np.int64)
-    bits = np.bincount(group * size + cell, minlength=len(counts) * size) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
+def set_names(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over the distinct shingle hashes of each text; together they name its set."""
+    at = hashing.bounds_of(counts)
+    names = []
+    for i in (1, 2):
+        sums = np.zeros(len(values) + 1, hashing.U)
+        np.cumsum(hashing.mix(values + hashing.U(i)), out=sums[1:])
+        names.append(hashing.signed(sums[at[1:]] - sums[at[:-1]]))
+    return names[0], names[1]
+
+
+def text_names() -> list[Column]:
+    """Two numbers that together name a text, by which one text of a set is found again."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
 
+SIGNED = "n_shingles long, k1 long, k2 long, bands array<long>"
 
-def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set, its band keys (null for an empty set) and its sketch."""
+
+def signed(docs: DataFrame, signature: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, t1 and t2 (names of the text), SIGNED and the columns to carry, of every whole text: k1 and k2 name its set;
+    the band keys are null for an empty set. signature gives the sets of texts (values, counts) and their band keys."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, counts = shingle_sets(batch.column("text"), shingle)
-        signature = one_permutation(values, counts, bands * rows)
-        keys = hashing.signed(hashing.band_keys(signature, rows))
-        at = hashing.bounds_of(counts)
-        sums = [np.append(np.cumsum(hashing.mix(values + hashing.U(i)), dtype=hashing.U), 0)[at - 1] for i in (1, 2)]
-        names = [hashing.signed(s[1:] - s[:-1]) for s in sums]
+        values, counts, keys = signature(batch.column("text"))
+        k1, k2 = set_names(values, counts)
         lists = [k if c else None for k, c in zip(keys, counts.tolist(), strict=True)]
-        marks = sketches(values, counts)
-        return common.batch_of(
-            doc_id=batch.column("doc_id"), n_shingles=pa.array(counts, pa.int64()), k1=pa.array(names[0]), k2=pa.array(names[1]),
-            bands=pa.array(lists, pa.list_(pa.int64())), **{c: pa.array(marks[:, i]) for i, c in enumerate(MARKS)},
-        )
+        own = {c: batch.column(c) for c in ("doc_id", "t1", "t2", *carry)}
+        return common.batch_of(**own, n_shingles=pa.array(counts, pa.int64()), k1=pa.array(k1), k2=pa.array(k2), bands=pa.array(lists, pa.list_(pa.int64())))
+
+    schema = "doc_id long, t1 long, t2 long, " + "".join(f"{c} long, " for c in carry) + SIGNED
+    return common.map_slices(docs.select("doc_id", "text", *text_names(), *carry), run, schema)
+
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>" + "".join(f", {c} long" for c in MARKS)
-    return common.map_slices(docs.select("doc_id", "text"), run, schema)
+def one_permutation_bands(texts: pa.Array, shingle: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, counts = shingle_sets(texts, shingle)
+    return values, counts, hashing.signed(hashing.band_keys(one_permutation(values, counts, bands * rows), rows))
 
 
-def link_texts(items: DataFrame, docs: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
-    """(node, component) among items (item, n, bands), whose texts are those of docs (doc_id, text)."""
-    members = links.shared_bands(items)
-    ids = written(members.select("item").distinct(), "candidates")
-    payload = links.in_sketch(docs.select(F.col("doc_id").alias("item"), "text"), "item", ids)
-    payload = written(payload.join(ids, "item", "left_semi"), "texts")
-    return links.linked(members, partial(links.verified, payload=payload, sets=sets, percent=percent), percent)
+def class_payload(docs: DataFrame, classes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(item, n, sketch, text) of the classes (item, t1, t2) that are items of members; each has one text."""
+    wanted = written(classes.select("item", "t1", "t2").join(members.select("item").distinct(), "item", "left_semi"), "wanted")
+    texts = links.in_sketch(docs.select(*text_names(), "text"), "t1", wanted.select("t1"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, counts = shingle_sets(batch.column("text"), shingle)
+        return common.batch_of(t1=batch.column("t1"), t2=batch.column("t2"), **links.attributes_of(values, counts, SKETCH), text=batch.column("text"))
+
+    # Copies of a text are united in each task before they are shuffled.
+    rows = common.map_slices(texts, run, links.payload_schema(SKETCH).replace("item long", "t1 long, t2 long")).dropDuplicates(["t1", "t2"])
+    return written(rows.join(wanted, ["t1", "t2"]).drop("t1", "t2"), "texts")
+
+
+def set_components(docs: DataFrame, table: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(k1, k2, part, doc_id) of the distinct sets of ``signed``, the empty one left out: the component of each set, and
+    the smallest doc_id of a row whose set is in that component."""
+    own = table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("t1", "t2")).alias("t"), F.first("bands").alias("bands"))
+    # Numbers are given as the table is written, once.
+    classes = written(own.select(F.monotonically_increasing_id().alias("item"), "k1", "k2", "doc_id", "t.*", "bands"), "classes")
+    members = links.shared_bands(classes.select("item", "bands"))
+    labels = links.linked(members, class_payload(docs, classes, members, shingle), partial(shingle_sets, k=shingle), percent)
+    placed = written(classes.select("item", "k1", "k2", "doc_id").join(labels.withColumnRenamed("node", "item"), "item", "left"), "placed")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return placed.join(least, "component", "left").select("k1", "k2", F.coalesce("component", "item").alias("part"), F.least("least", "doc_id").alias("doc_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    table = written(signatures(docs, shingle, bands, rows), "signatures")
-    classes = table.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in MARKS])
-    classes = written(classes, "classes")
-    labels = link_texts(classes.select("item", "n", "bands", *MARKS), docs, partial(shingle_sets, k=shingle), percent)
-    named = classes.join(labels.withColumnRenamed("node", "item"), "item", "left").select("k1", "k2", F.coalesce("component", "item").alias("component"))
+    table = written(signed(docs, partial(one_permutation_bands, shingle=shingle, bands=bands, rows=rows)), "signatures")
+    named = set_components(docs, table.where("doc_id is not null"), shingle, percent).select("k1", "k2", F.col("doc_id").alias("component"))
     rows_ = table.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows_.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def row_names() -> list[Column]:
+    """Two numbers that together name the content of a row of documents, nulls included."""
+    every = [x for c in common.DOCUMENT_COLUMNS for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *every).alias(f"h{i}") for i in (1, 2)]
+
+
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents of which one of each component stays: that with the component's doc_id; all others stay as they are."""
-    drop = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.select(*common.DOCUMENT_COLUMNS).join(drop, "doc_id", "left_anti")
+    """One document of each component: the row of the smallest doc_id (rows without one last; ties by a hash of the row),
+    and of identical rows one. Rows with an empty set all stay."""
+    docs = docs.select(*common.DOCUMENT_COLUMNS)
+    named = docs.select("*", *row_names())
+    table = written(signed(named, partial(one_permutation_bands, shingle=shingle, bands=BANDS, rows=ROWS), ("h1", "h2")), "signatures").where("n_shingles > 0")
+    parts = set_components(docs, table, shingle, percent).select("k1", "k2", "part")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2").alias("row")
+    rows = written(table.select(row, "k1", "k2").join(parts, ["k1", "k2"]).select("part", "row"), "rows")
+    several = written(rows.groupBy("part").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first != last").select("part", "first"), "several")
+    drop = rows.join(several, "part").where("row != first").select("row.h1", "row.h2").distinct()
+    kept = named.join(drop, ["h1", "h2"], "left_anti")
+    again = written(table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
+    if not again.isEmpty():
+        once = kept.join(again, ["h1", "h2"], "left_semi").select(*common.DOCUMENT_COLUMNS).distinct()
+        return kept.join(again, ["h1", "h2"], "left_anti").select(*common.DOCUMENT_COLUMNS).unionAll(once)
+    return kept.select(*common.DOCUMENT_COLUMNS)

@@ -73,9 +73,10 @@ def test_near_duplicates_equal_brute_force(documents, k, bands, rows):
     assert all(r["n_shingles"] == len(word_set(dict(table)[r["doc_id"]], k)) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_mixed_buckets_lose_no_link(documents, monkeypatch):
-    monkeypatch.setattr(links, "STARS", 1)
-    monkeypatch.setattr(links, "GROWTH", 1)
+@pytest.mark.parametrize("sketched", [True, False])
+def test_mixed_buckets_lose_no_link(documents, monkeypatch, sketched):
+    if not sketched:
+        monkeypatch.setattr(links, "sketch_columns", lambda frame: [])
     made = variants(120, 77)
     got = neardup.near_duplicates(documents(list(enumerate(made))), shingle=4, bands=60, rows=1).collect()  # every bucket is mixed
     assert {r["doc_id"]: r["component_id"] for r in got} == brute({i: word_set(t, 4) for i, t in enumerate(made)})
@@ -89,6 +90,24 @@ def test_rows_without_id_repeated_rows_and_none(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_of_identical_rows_and_of_rows_without_id_stays(documents):
+    same, odd = "a b c d e f", "u v w x y z"
+    rows = [(7, same), (7, same), (7, same), (None, same), (None, odd), (None, odd), (9, odd), (9, "k l m n o p"), (None, None), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(documents(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(7, same), (9, odd), (9, "k l m n o p"), (None, None), (None, None)], key=repr)
+    alone = neardup.deduplicated(documents([(None, odd)] * 5)).collect()
+    assert [(r["doc_id"], r["text"]) for r in alone] == [(None, odd)]
+    assert neardup.deduplicated(documents([])).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_sets(documents):
+    texts = ["a b c d e f g", "h i j k l m n"]
+    got = neardup.near_duplicates(documents([(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (4, texts[1])])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+    got = neardup.near_duplicates(documents([(5, texts[0]), (5, texts[1]), (2, texts[0]), (3, texts[1])])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(2, 2, True), (3, 3, True), (5, 2, False), (5, 3, False)]
+
+
 def test_densified_signatures_estimate_likeness():
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (300, 330, 6)]
     values, counts = neardup.shingle_sets(pa.array(texts), 4)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from starlode.llm import links, neardup
@@ -11,7 +12,7 @@ def pairs_of(spark, common, extra, count, size, seed):
     sides = []
     for sets in (whole[:, :common], whole):
         values = np.sort(sets, axis=1).reshape(-1)
-        sides.append(neardup.sketches(values, np.full(count, sets.shape[1]), size))
+        sides.append(links.parities(values, np.full(count, sets.shape[1]), size))
     marks = [f"s{i}" for i in range(size // 64)]
     rows = [(common, *x, common + extra, *y) for x, y in zip(sides[0].tolist(), sides[1].tolist(), strict=True)]
     names = ["n", *marks, "c_n", *[f"c_{m}" for m in marks]]
@@ -28,8 +29,17 @@ def test_sketch_turns_no_pair_at_the_threshold_down(spark, union):
 def test_sketch_spares_pairs_that_sizes_let_through(spark):
     rng = np.random.default_rng(1)
     values = np.sort(rng.integers(0, 1 << 64, (2, 50), dtype=np.uint64), axis=1).reshape(-1)
-    x, y = neardup.sketches(values, np.array([50, 50])).tolist()
+    x, y = links.parities(values, np.array([50, 50]), neardup.SKETCH).tolist()
     marks = [f"s{i}" for i in range(len(x))]
     names = ["n", *marks, "c_n", *[f"c_{m}" for m in marks]]
     pair = spark.createDataFrame([(50, *x, 50, *y)], ", ".join(f"{c} long" for c in names))
     assert pair.where(links.near_enough(marks, "c_", 80)).count() == 0
+
+
+def test_names_of_sets_do_not_depend_on_the_texts_around_them():
+    texts = pa.array([f"one two three four five six seven eight nine {i % 7} ten eleven" for i in range(50)] + ["", None])
+    values, counts = neardup.shingle_sets(texts, 4)
+    k1, k2 = neardup.set_names(values, counts)
+    for i in range(len(texts)):
+        assert [x.tolist() for x in neardup.set_names(*neardup.shingle_sets(texts.slice(i, 1), 4))] == [[k1[i]], [k2[i]]]
+    assert len(set(k1[:50].tolist())) == 7
