@@ -1,9 +1,12 @@
 """Language ID: a convolutional network over bytes, trained in numpy and applied to fixed-length windows of whole texts.
 
-Bytes fall into CLASSES kinds; filters of WIDTHS bytes over one-hot kinds, a rectifier, the maximum over a window of
-WINDOW bytes and a softmax layer give each window's language. A text's prediction is the language of the largest mean
+Filters of WIDTHS bytes over one-hot bytes (A to Z count as a to z), a rectifier, the maximum over a window of WINDOW
+bytes and a softmax layer give each window's language. A text's prediction is the language of the largest mean
 probability, windows weighted by their bytes; the score is that mean. When applied, the filters are sums of two table
-look-ups per byte, one row for each pair of kinds: the same numbers as the convolution, without building windows.
+look-ups per byte, one row for each pair of bytes: the same numbers as the convolution, without building windows.
+
+Training draws SAMPLE different rows (doc_id, text) that have a language and a letter, by a hash, and from all windows of
+their whole texts WINDOWS ones, again by a hash: both bounds keep what the driver gets, whatever the table.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if nothing could be
 learned (no row with a language). Ties take the language that sorts first. Repeated rows give repeated rows; columns
@@ -17,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlode.llm import common
+from starlode.llm import common, hashing
 from starlode.llm.common import held_out
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-CLASSES = 64
-#: Bound of the training sample: so many documents, chosen by a hash of doc_id, one stretch of text of each.
+CLASSES = 256
+#: Bounds of the training sample: rows, and windows of them.
 SAMPLE = 4000
+WINDOWS = 16_000
 #: Training steps, whatever the sample's size.
 STEPS = 750
 UNKNOWN = "und"
@@ -36,20 +40,7 @@ LETTER = re.compile(r"[^\W\d_]")
 BLOCK = 1 << 14
 
 
-def byte_kinds() -> np.ndarray:
-    """Kind of each byte: letters without case, one kind each for digits, white space and other ASCII, 33 for the rest."""
-    kind = np.full(256, 1, np.int64)
-    kind[[0x20, *range(0x09, 0x0E)]] = 2
-    kind[ord("0") : ord("9") + 1] = 3
-    for i in range(26):
-        kind[[ord("a") + i, ord("A") + i]] = 4 + i
-    # Continuation bytes 80-9F and A0-BF fold: in C3 xx they are upper and lower case of the same letters.
-    kind[0x80:0xC0] = 30 + np.arange(64) % 32
-    kind[0xC0:] = 62
-    return kind
-
-
-KIND = byte_kinds()
+KIND = hashing.LOWER.astype(np.int64)
 
 
 @dataclass
@@ -60,6 +51,11 @@ class Network:
     dense: np.ndarray
     out: np.ndarray
 
+    def responses(self, kinds: np.ndarray) -> np.ndarray:
+        """All filters at every place of windows, given by kinds with three more at the end."""
+        size = kinds.shape[1] - 3
+        return np.concatenate([sum(w[k][kinds[:, k : k + size]] for k in range(len(w))) for w in self.filters], axis=2) + self.bias
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Per pair of kinds: what the pair at a place adds to all filters there, and what the pair two bytes on adds."""
         near = np.zeros((CLASSES, CLASSES, len(self.bias)), np.float32)
@@ -110,14 +106,14 @@ def predict(net: Network, data: np.ndarray, at: np.ndarray, tables: tuple[np.nda
     return out / np.maximum(counts, 1)[:, None]
 
 
-def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3, rate: float = 0.01, batch: int = 64) -> Network | None:
-    """Adam on the cross-entropy of one window per text; None without texts."""
-    rows = [(t.encode()[:WINDOW], y) for t, y in zip(texts, labels, strict=True) if t and y is not None]
+def train(windows: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 3, rate: float = 0.01, batch: int = 64) -> Network | None:
+    """Adam on the cross-entropy of windows of at most WINDOW bytes; None without any."""
+    rows = [(t[:WINDOW], y) for t, y in zip(windows, labels, strict=True) if t and y is not None]
     if not rows:
         return None
     languages = sorted({y for _, y in rows})
     target = np.array([languages.index(y) for _, y in rows])
-    kinds = np.zeros((len(rows), WINDOW + 3), np.int64)
+    kinds = np.zeros((len(rows), WINDOW + 3), np.uint8)
     for i, (t, _) in enumerate(rows):
         kinds[i, : len(t)] = KIND[np.frombuffer(t, np.uint8)]
     rng = np.random.default_rng(seed)
@@ -132,12 +128,10 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3
     lengths = np.array([len(t) for t, _ in rows])
     while step < steps:
         order = rng.permutation(len(rows))
-        for a in range(0, len(rows), batch):
+        for a in range(0, min(len(rows), (steps - step) * batch), batch):
             pick = order[a : a + batch]
             x, y, m = kinds[pick], target[pick], len(pick)
-            near, far = net.tables()
-            pair = x[:, :-1] * CLASSES + x[:, 1:]
-            z = near[pair[:, :WINDOW]] + far[np.minimum(pair[:, 2:], CLASSES**2 - 1)]
+            z = net.responses(x)
             z[np.arange(WINDOW)[None, :] >= lengths[pick][:, None]] = -np.inf
             where = z.argmax(axis=1)
             pooled = np.take_along_axis(z, where[:, None, :], axis=1)[:, 0]
@@ -160,14 +154,43 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 3
     return net
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Trains on at most ``sample`` documents that are not held out, those of the least hash of doc_id."""
-    named = docs.where(~held_out(3, 1) & F.col("lang").isNotNull())
-    eligible = common.least_hashed(named.where(F.length("text") > 0), "langid", named, sample)
-    begin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-    stretch = F.substring(F.col("text"), begin.cast("int"), F.lit(WINDOW)).alias("text")
-    rows = eligible.select("key", "lang", stretch).orderBy("key", "lang", "text").limit(sample).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+def least_keys(keys: DataFrame, most: int) -> Column | None:
+    """A condition that the ``most`` least of distinct keys (column key) meet, by a hash of them; None if all may stay.
+
+    Keys beyond twice the wanted share are left out first, so that what tasks send on is bounded.
+    """
+    n = keys.count()
+    if n <= most:
+        return None
+    place = F.pmod(F.xxhash64("key", F.lit("place")), F.lit(1 << 40))
+    share = int((1 << 40) * min(1.0, 2 * most / n))
+    cut = keys.select(place.alias("place")).where(F.col("place") < share).orderBy("place").limit(most).agg(F.max("place")).first()[0]
+    return place <= (share if cut is None else cut)
+
+
+def sampled_windows(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> list[tuple[str, bytes]]:
+    """(lang, window) of at most so many windows of at most so many different rows with a language and a letter."""
+    usable = docs.where(~held_out(3, 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = usable.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("key"))
+    wanted = least_keys(rows.select("key").distinct(), sample)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [(k * 1_000_003 + i, y, t[a : a + WINDOW]) for k, y, t in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "text")), strict=True) for t in [t.encode()] for i, a in enumerate(range(0, len(t), WINDOW))]
+        key, lang, window = zip(*parts, strict=True)
+        signed = [(k + (1 << 63)) % (1 << 64) - (1 << 63) for k in key]
+        return common.batch_of(key=pa.array(signed, pa.int64()), lang=pa.array(lang, pa.string()), window=pa.array(window, pa.binary()))
+
+    every = common.map_slices(rows if wanted is None else rows.where(wanted), cut, "key long, lang string, window binary")
+    every = common.written(every.dropDuplicates(["key"]), "windows")
+    wanted = least_keys(every.select("key"), windows)
+    found = (every if wanted is None else every.where(wanted)).orderBy("key").limit(windows).collect()
+    return [(r["lang"], bytes(r["window"])) for r in found]
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Network | None:
+    """Trains on windows of documents that are not held out."""
+    found = sampled_windows(docs, sample, windows)
+    return train([w for _, w in found], [y for y, _ in found])
 
 
 def has_letter(text: str) -> bool:
@@ -180,15 +203,17 @@ PREDICTED = "doc_id long, lang_pred string, score double"
 
 def identify(docs: DataFrame, net: Network | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score of every whole text, and the columns to carry along."""
-    tables = net.tables() if net else None
     types = dict(docs.dtypes)
+    tables: list[tuple[np.ndarray, np.ndarray]] = []  # made by each task for itself
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
         good = [bool(t) and has_letter(t) for t in texts.to_pylist()]
         names, scores = [UNKNOWN] * len(good), [0.0] * len(good)
         if net:
-            probability = predict(net, *common.text_buffer(texts), tables)
+            if not tables:
+                tables.append(net.tables())
+            probability = predict(net, *common.text_buffer(texts), tables[0])
             for i, k in enumerate(probability.argmax(axis=1).tolist()):
                 if good[i]:
                     names[i], scores[i] = net.languages[k], min(1.0, round(float(probability[i, k]), 6))

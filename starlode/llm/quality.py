@@ -1,13 +1,15 @@
 """Quality classifier: a linear support vector machine on n-gram indicators scaled by naive Bayes log-count ratios.
 
-n-grams are runs of 1 to 3 word shapes (case, marks and repetition of a word) and of 3 bytes, as indicators in HASHED
-slots. The ratio of a slot is the logarithm of its smoothed share in class 1 over that in class 0; the machine is fitted
-on ratio-scaled indicators, each text at unit length, by dual coordinate descent on the hinge loss. A score is the logistic
-function of the margin, its slope and offset fitted on the training texts (Platt).
+n-grams are runs of 1 and 2 words, of 1 to 3 word shapes (case, marks and repetition of a word) and of 3 bytes, as
+indicators in HASHED slots. The ratio of a slot is the logarithm of its smoothed share in class 1 over that in class 0; the
+machine is fitted on ratio-scaled indicators, each text at unit length, by dual coordinate descent on the hinge loss. A
+score is the logistic function of the margin, its slope and offset fitted on margins of texts by machines that were
+trained without them (Platt, FOLDS folds).
 
 Defined results: null and empty texts have no indicators and score by the bias alone; without labelled rows of both
-classes every score is the share of class 1 (0.5 without any). Several labels of a document each count. Repeated rows
-give repeated rows; columns other than those named are ignored.
+classes every score is the share of class 1 (0.5 without any). Different labels of a document each count, with one of its
+texts (that of the least hash, should rows share a doc_id). Repeated rows give repeated rows; equal texts score the same;
+columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +27,19 @@ from starlode.llm.common import held_out
 HASHED = 1 << 18
 #: Bound of the training sample: so many labelled documents, those of the least hash of doc_id.
 SAMPLE = 4000
-#: Training uses one stretch of a labelled text of at most so many characters; scores use whole texts.
-STRETCH = 4000
-#: Texts whose indicators are found at once in training, which bounds the driver's memory.
-TRAIN_ROWS = 100
 COST = 1.0
+FOLDS = 3
 EPOCHS = 15
 THRESHOLD = 0.3
 MARK = np.zeros(256, bool)
 MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def shapes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A shape number of every word, and the number of words of each text."""
+def words_and_shapes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash and a shape number of every word, and the number of words of each text."""
     words, counts = hashing.words(data, at, lower=True)
     if not len(words):
-        return words, counts
+        return words, words.astype(np.int64), counts
     white = hashing.WHITE[data]
     before, after = np.ones(len(data) + 1, bool), np.ones(len(data), bool)
     before[1:], after[:-1] = white, white[1:]
@@ -56,22 +55,23 @@ def shapes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again[1:] = words[1:] == words[:-1]
     again[first[counts > 0]] = 0
     end = np.where(MARK[data[last]], data[last], 0).astype(np.int64)
-    return (end * 4 + np.minimum(marks, 3)) * 8 + np.minimum(upper, 2) * 2 + again, counts
+    return words, (end * 4 + np.minimum(marks, 3)) * 8 + np.minimum(upper, 2) * 2 + again, counts
 
 
 def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct slots of each text, and their numbers."""
     data, at = common.text_buffer(texts)
-    shape, counts = shapes(data, at)
+    words, shape, counts = words_and_shapes(data, at)
     owner = np.repeat(np.arange(len(counts)), counts)
     keys, rows = [], []
-    value = np.zeros(len(shape), hashing.U)
-    for n in range(1, 4):
-        size = max(len(shape) - n + 1, 0)
-        value = value[:size] * hashing.U(0x1000193) + shape[n - 1 :].astype(hashing.U) + hashing.U(n)
-        same = owner[:size] == owner[n - 1 :]
-        keys.append(hashing.mix(value)[same])
-        rows.append(owner[:size][same])
+    for tokens, longest, salt in ((shape.astype(hashing.U), 3, 0), (words, 2, 1 << 41)):
+        value = np.zeros(len(tokens), hashing.U)
+        for n in range(1, longest + 1):
+            size = max(len(tokens) - n + 1, 0)
+            value = value[:size] * hashing.U(0x1000193) + tokens[n - 1 :] + hashing.U(n + salt)
+            same = owner[:size] == owner[n - 1 :]
+            keys.append(hashing.mix(value)[same])
+            rows.append(owner[:size][same])
     if len(data) > 2:
         x = data.astype(hashing.U)
         three = x[:-2] << hashing.U(16) | x[1:-1] << hashing.U(8) | x[2:]
@@ -168,28 +168,73 @@ def platt(margin: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[flo
     return float(a), float(b)
 
 
-def train(texts: list[str], labels: list[int]) -> Fitted | float:
+@dataclass
+class Sample:
+    """Distinct slots of labelled texts, one after the other, their numbers, and the labels."""
+
+    slots: np.ndarray
+    counts: np.ndarray
+    labels: np.ndarray
+
+    def rows(self, chosen: np.ndarray) -> Sample:
+        return Sample(self.slots[np.repeat(chosen, self.counts)], self.counts[chosen], self.labels[chosen])
+
+    def both(self) -> bool:
+        return len(self.labels) > 0 and self.labels.min() != self.labels.max()
+
+
+def sample_of(texts: list[str | None], labels: list[int]) -> Sample:
+    slots, counts = indicators(pa.array(texts, pa.string()))
+    return Sample(slots.astype(np.int32), counts, np.array(labels, np.int64))
+
+
+def machine(sample: Sample) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ratios, weights and bias."""
+    ratios = log_count_ratios(sample.slots, sample.counts, sample.labels)
+    return ratios, *dual_coordinate_descent(sample.slots, sample.counts, sample.labels, ratios)
+
+
+def unseen_margins(sample: Sample, folds: int = FOLDS) -> np.ndarray | None:
+    """Margins of each text by a machine that was trained without its fold; None if a machine would lack a class."""
+    fold, out = np.arange(len(sample.labels)) % folds, np.zeros(len(sample.labels))
+    for k in range(folds):
+        known, rest = sample.rows(fold != k), sample.rows(fold == k)
+        if not known.both():
+            return None
+        ratios, weights, bias = machine(known)
+        out[fold == k] = margins(weights, rest.slots, rest.counts, ratios) + bias
+    return out
+
+
+def train(sample: Sample) -> Fitted | float:
     """The fitted machine, or the share of class 1 if there are not both classes."""
-    y = np.array(labels, np.int64)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.5
-    parts = [indicators(pa.array(texts[a : a + TRAIN_ROWS], pa.string())) for a in range(0, len(texts), TRAIN_ROWS)]
-    slots, counts = np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
-    ratios = log_count_ratios(slots, counts, y)
-    weights, bias = dual_coordinate_descent(slots, counts, y, ratios)
-    slope, offset = platt(margins(weights, slots, counts, ratios) + bias, y)
+    if not sample.both():
+        return float(sample.labels.mean()) if len(sample.labels) else 0.5
+    ratios, weights, bias = machine(sample)
+    unseen = unseen_margins(sample)
+    slope, offset = platt(margins(weights, sample.slots, sample.counts, ratios) + bias if unseen is None else unseen, sample.labels)
     return Fitted(ratios.astype(np.float32), Model(weights.astype(np.float32), bias, slope, offset))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted | float:
-    """Trains on at most ``sample`` labelled documents that are not held out; both tables are read by the columns used."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).select("doc_id", "quality")
+    """Trains on at most ``sample`` labelled documents that are not held out, with their whole texts: tasks find the
+    indicators, of which a text has HASHED at most, and the driver gets these."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).select("doc_id", "quality").distinct()
     chosen = common.least_hashed(known, "quality", known, sample).orderBy("key", "doc_id", "quality").limit(sample).drop("key")
-    begin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - STRETCH, F.lit(1))) + 1
     # The chosen rows are bounded by ``sample``, so that they may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), begin.cast("int"), F.lit(STRETCH)).alias("text"))
-    got = sorted((r["doc_id"], r["quality"], r["text"] or "") for r in rows.collect())
-    return train([g[2] for g in got], [int(g[1]) for g in got])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("h"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        slots, counts = indicators(batch.column("text"))
+        cut = np.split(slots.astype("<i4"), np.cumsum(counts)[:-1])
+        return common.batch_of(doc_id=batch.column("doc_id"), quality=batch.column("quality").cast(pa.int32()), h=batch.column("h"), slots=pa.array([c.tobytes() for c in cut], pa.binary()))
+
+    found = common.map_slices(rows, run, "doc_id long, quality int, h long, slots binary")
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "slots"))["slots"].alias("slots"))
+    got = sorted((r["doc_id"], r["quality"], bytes(r["slots"])) for r in one.collect())
+    parts = [np.frombuffer(g[2], "<i4") for g in got]
+    slots = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return train(Sample(slots, np.array([len(x) for x in parts], np.int64), np.array([g[1] for g in got], np.int64)))
 
 
 SCORED = "doc_id long, score double, predicted int"

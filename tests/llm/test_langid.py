@@ -21,7 +21,7 @@ def direct(net, text):
 
 
 def test_tables_give_the_convolution():
-    net = langid.train(["the cat and the dog", "le chat et le chien", "der hund und die katze"] * 4, ["en", "fr", "de"] * 4, steps=5)
+    net = langid.train([b"the cat and the dog", b"le chat et le chien", b"der hund und die katze"] * 4, ["en", "fr", "de"] * 4, steps=5)
     texts = ["the end", "une très longue phrase " * 30, "x", "", "Größe"]
     data = "".join(texts).encode()
     at = np.cumsum([0, *(len(t.encode()) for t in texts)])
@@ -48,3 +48,33 @@ def test_nothing_to_learn_from(documents):
     docs = documents([(1, "text", None), (2, None, "en")])
     assert {r["lang_pred"] for r in langid.language_ids(docs).collect()} == {"und"}
     assert langid.language_ids(documents([])).count() == 0
+
+
+def usable(docs):
+    return docs.where(~langid.held_out(3, 1) & langid.F.col("lang").isNotNull() & (langid.F.length("text") > 0)).count()
+
+
+def test_sample_is_not_thinned_by_rows_that_cannot_be_used(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "if(id % 50 = 0, concat('text number ', id), '') AS text", "'en' AS lang")
+    assert len(langid.sampled_windows(rows, sample=60)) == min(60, usable(rows)) > 40
+
+
+def test_rows_that_share_an_id_and_repeated_rows(spark):
+    rows = spark.range(3000).selectExpr("0L AS doc_id", "concat('text number ', id) AS text", "'en' AS lang")
+    found = langid.sampled_windows(rows.unionAll(rows), sample=100)
+    assert len(found) == len(set(found)) == 100
+    same = spark.range(3000).selectExpr("0L AS doc_id", "'one and the same' AS text", "'en' AS lang")
+    assert langid.sampled_windows(same, sample=100) == [("en", b"one and the same")]
+
+
+def test_windows_of_whole_texts_are_drawn_within_bounds(spark):
+    rows = spark.range(30).selectExpr("id AS doc_id", "concat(repeat('a', 256 * 40), repeat('b', 100)) AS text", "'en' AS lang")
+    every = langid.sampled_windows(rows, windows=10_000)
+    assert len(every) == 41 * usable(rows) and {w for _, w in every} == {b"a" * 256, b"b" * 100}
+    assert len(langid.sampled_windows(rows, windows=50)) == 50
+
+
+def test_ties_take_the_language_that_sorts_first(documents):
+    net = langid.train([b"same text"] * 8, ["fr", "de"] * 4, steps=1)
+    net.dense[:], net.out[:] = 0, 0
+    assert langid.identify(documents([(1, "any text")]), net).first()["lang_pred"] == "de"
