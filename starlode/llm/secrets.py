@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Both models are first-order chains over printable ASCII, trained from labelled samples with additive smoothing. A
-candidate token is a secret when the mean log-likelihood ratio per character (random over ordinary) exceeds a threshold.
+Both models are first-order chains over printable ASCII, trained from labelled samples with additive smoothing. Every token
+of 16 or more characters is rated by its mean log-likelihood ratio per character (random over ordinary) and is a secret
+above a threshold, which is set on further labelled samples so that RECALL of the random strings among them exceed it.
 
 Defined results: a null or empty text has no spans and is returned as it is by ``redact``. Offsets count code points,
 ends are exclusive. Spans are ordered by start, then by kind in the order of KINDS. Repeated rows give repeated rows.
@@ -27,8 +28,10 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+#: Share of unseen random strings that have to be found.
+RECALL = 0.99
 
+#: Words that identifiers are made of, in four languages.
 WORDS = """account address amount answer array author balance batch block branch buffer build bytes cache calendar channel
 client cluster code column commit config connection content context count country create current customer data database
 date default delete delivery device discount document domain driver duration email employee encoding error event example
@@ -41,14 +44,28 @@ rate record region release report request resource response result role route ro
 search segment sender sequence server service session setting shipment signal size source space stage start state status
 storage store stream string style supplier support system table tag target task template test text thread ticket time
 title token total track transaction type unit update upload user value vendor version video view volume warehouse week
-width window worker year zone""".split()
-
-
-def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
+width window worker year zone
+acheter adresse ancien autre beaucoup boutique chaussure chemin choix client colis commande compte demande dernier droit
+eau echange emploi entreprise envoi essai etat facture famille feuille fichier grand heure jeune jour langue lieu livraison
+marche mieux moyen niveau nouveau numero ouverture ouvrier paiement pays prix produit quantite question recherche reseau
+semaine service soin statut taux tiroir travail utilisateur valeur veille vendeur ville voiture yeux
+abschnitt anschrift arbeit aufgabe auftrag ausgabe bank beleg benutzer bericht bestellung betrag bezeichnung bild brief
+datei dienst eingang ergebnis fehler feld firma gebiet geschichte gesellschaft gesundheit gewicht grenze gruppe herkunft
+jahr kennwort konto kopf kunde lager leistung lieferung menge mitglied monat nachricht netz ordnung pflicht pfad preis
+rechnung sammlung schicht schlange schnitt schrift seite sicherheit stadt stufe tabelle tag teil umsatz verbindung verkauf
+vertrag verzeichnis vorgang wert wirtschaft woche zahlung zeichen zeit zeitpunkt ziel zugriff zweck
+ahorro alumno archivo ayuda bolsa busqueda caja calle cambio cantidad cargo ciudad clave codigo compra comunidad contrato
+cuenta cuerpo deseo destino dinero direccion edad empleo empresa entrega envio estado factura fecha fuente gasto grupo
+idioma jefe lugar mensaje mercado mes nivel nombre numero objeto pago pedido persona plazo precio prueba pueblo queja
+recurso reloj servicio sitio tarea tarjeta tiempo tienda trabajo usuario valor venta vez viaje""".split()
+
+
+def labelled_samples(n: int = 8000, seed: int = 7) -> list[tuple[str, int]]:
     """n random strings (1) and n identifiers as programmers write them (0), from a seeded generator."""
     rng = np.random.default_rng(seed)
     digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    sets = (digits + "abcdef", digits + lower, digits + lower + lower.upper(), digits + lower.upper(), digits + lower + lower.upper() + "+/")
+    sets = (digits + "abcdef", digits + lower, digits + lower + lower.upper(), digits + lower.upper(), digits + lower + lower.upper() + "+/", lower, lower.upper(), lower + lower.upper())
+    join = ("_".join, "-".join, lambda parts: "".join(x.title() for x in parts), lambda parts: "_".join(parts).upper(), "/".join, "".join)
     out: list[tuple[str, int]] = []
     for i in range(n):
         letters = sets[i % len(sets)]
@@ -56,9 +73,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
         parts = [WORDS[j] for j in rng.integers(0, len(WORDS), rng.integers(2, 6))]
         if rng.random() < 0.4:
             parts.append(str(rng.integers(0, 10 ** int(rng.integers(1, 5)))))
-        style = i % 5
-        text = "_".join(parts) if style == 0 else "-".join(parts) if style == 1 else "".join(x.title() for x in parts) if style == 2 else "_".join(parts).upper() if style == 3 else "/".join(parts)
-        out.append((text, 0))
+        out.append((join[i % len(join)](parts), 0))
     return out
 
 
@@ -88,10 +103,16 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.05) -> Markov
     return Markov(tuple((first[1] - first[0]).tolist()), tuple(map(tuple, (step[1] - step[0]).tolist())))
 
 
+def threshold_for(model: Markov, samples: Iterable[tuple[str, int]], recall: float = RECALL) -> float:
+    """The ratio that this share of the random strings among the samples exceed."""
+    ratios = sorted(model.ratio(text) for text, label in samples if label == 1)
+    return ratios[int(len(ratios) * (1 - recall))] - 1e-9
+
+
 @dataclass(frozen=True)
 class Scanner:
     model: Markov
-    threshold: float = 0.5
+    threshold: float
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the three fixed patterns, in order."""
@@ -105,11 +126,14 @@ class Scanner:
         return sorted(out)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Tokens of letters and digits that the models find random, unless a base span covers them."""
+        """Tokens that the models find random, unless a base span covers them."""
         out = []
+        reach, at = 0, 0  # the furthest end of base spans that begin at or before the token
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if MIXED.match(m[0]) and not any(s <= a and b <= e for s, _, e in base) and self.ratio(m[0]) > self.threshold:
+            while at < len(base) and base[at][0] <= a:
+                reach, at = max(reach, base[at][2]), at + 1
+            if b > reach and self.ratio(m[0]) > self.threshold:
                 out.append((a, 3, b))
         return out
 
@@ -123,7 +147,8 @@ class Scanner:
 
 
 def default_scanner() -> Scanner:
-    return Scanner(train(labelled_samples()))
+    model = train(labelled_samples())
+    return Scanner(model, threshold_for(model, labelled_samples(2000, seed=8)))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

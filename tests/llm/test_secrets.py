@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import string
+import time
 
 from starlode.llm import secrets
 
@@ -30,7 +33,7 @@ def test_base_spans(texts):
 
 
 def test_model_tells_samples_apart():
-    scanner = secrets.Scanner(secrets.train(secrets.labelled_samples()))
+    scanner = secrets.default_scanner()
     held = secrets.labelled_samples(1000, seed=99)
     right = sum((scanner.ratio(t) > scanner.threshold) == bool(y) for t, y in held)
     assert right / len(held) > 0.97
@@ -67,3 +70,48 @@ def test_redaction(documents):
 
 def test_mask_unites_overlaps():
     assert secrets.mask("abcdefgh", [(1, 0, 4), (2, 2, 6), (7, 1, 8)], "#") == "a#g#"
+
+
+def test_letters_alone_are_scored():
+    scanner, rng = secrets.default_scanner(), random.Random(5)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        found = [len(scanner.spans("key " + "".join(rng.choice(letters) for _ in range(32)))[1]) for _ in range(300)]
+        assert sum(found) > 280
+    assert sum(len(scanner.spans("".join(rng.choice(secrets.WORDS) for _ in range(6)))[1]) for _ in range(300)) < 6
+
+
+def test_planted_secrets_that_no_pattern_covers():
+    scanner, rng = secrets.default_scanner(), random.Random(6)
+    words = [w for w in secrets.WORDS if len(w) < 12]
+    caught = false = 0
+    for _ in range(300):
+        clean = " ".join(rng.choice(words) for _ in range(40))
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))
+        caught += scanner.spans(f"{clean} {key} {clean}")[1] == [(len(clean) + 1, 3, len(clean) + 25)]
+        false += len(scanner.spans(clean)[1])
+    assert caught > 290 and false == 0
+
+
+def brute_added(scanner, text, base):
+    tokens = [m.span() for m in secrets.CANDIDATE.finditer(text)]
+    return [(a, 3, b) for a, b in tokens if not any(s <= a and b <= e for s, _, e in base) and scanner.ratio(text[a:b]) > scanner.threshold]
+
+
+def test_spans_of_texts_with_many_secrets():
+    scanner, rng = secrets.default_scanner(), random.Random(7)
+    for _ in range(60):
+        parts = [rng.choice(["token=" + "%020x" % rng.getrandbits(80), "AKIA" + "Z7" * 9, "%024x" % rng.getrandbits(96), "q7Lx" * 6, "plain", "customer_account_number"]) for _ in range(30)]
+        text = "".join(p + rng.choice([" ", "", "=", "/"]) for p in parts)
+        base = scanner.base(text)
+        assert base == by_hand(text) and scanner.added(text, base) == brute_added(scanner, text, base)
+
+
+def test_time_grows_with_the_length_of_a_text():
+    scanner, took = secrets.default_scanner(), []
+    for n in (4000, 32_000):
+        text = " ".join(f"password=abc{i}defg" for i in range(n))
+        begin = time.perf_counter()
+        base, _ = scanner.spans(text)
+        took.append(time.perf_counter() - begin)
+        assert len(base) == n
+    assert took[1] < 24 * took[0] + 0.5
