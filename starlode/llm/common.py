@@ -13,9 +13,9 @@ from starlode.storage import ship, written  # noqa: F401  the operators take wri
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Text bytes that a kernel handles at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
-#: Rows per Arrow batch, so that batches of long texts stay small in JVM and Python memory.
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 20
+#: Rows and bytes per Arrow batch, so that batches of long texts stay small in JVM and Python memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,12 +24,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches (unless the user did) and makes the package importable on executors."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What tasks of one worker share, such as a loaded tokenizer; what was held under other names is let go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Lets go of what tasks of other operators held in this worker."""
+    _held.clear()
+
+
 def held_out(modulus: int, rest: int) -> Column:
     """Whether crc32 of doc_id as text leaves this remainder; a null doc_id counts as the text ''."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
@@ -78,6 +94,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, column):
             out = fn(part)
             if out is not None:

@@ -65,6 +65,7 @@ def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROW
     """doc_id, h (hash of the whole text), pos, id, id2 and, where the task meets the line first, its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         seen: set[int] = set()
         for batch in common.slices(batches, size=LINE_BYTES):
             row, pos, names, fresh, fresh_at = [], [], [], [], []
@@ -104,6 +105,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     kinds = "id2 long, " + links.payload_schema(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         seen: set[int] = set()
         for batch in common.slices(batches, size=LINE_BYTES):
             found = [c for text in batch.column("text").to_pylist() for line in (text or "").split("\n") if (c := normal(line))]

@@ -110,9 +110,11 @@ def one_permutation_bands(texts: pa.Array, shingle: int, bands: int, rows: int)
 def class_payload(docs: DataFrame, classes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """(item, n, sketch, text) of the classes (item, t1, t2) that are items of members; each has one text."""
     wanted = written(classes.select("item", "t1", "t2").join(members.select("item").distinct(), "item", "left_semi"), "wanted")
-    texts = links.in_sketch(docs.select(*text_names(), "text"), "t1", wanted.select("t1"))
+    texts = docs.select(*text_names(), "text")
+    bits = docs.sparkSession.sparkContext.broadcast(links.sketch(wanted.select("t1")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(links.hits(bits.value, batch.column("t1").to_numpy())))
         values, counts = shingle_sets(batch.column("text"), shingle)
         return common.batch_of(t1=batch.column("t1"), t2=batch.column("t2"), **links.attributes_of(values, counts, SKETCH), text=batch.column("text"))
 

@@ -81,13 +81,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return common.held(f"words of {path}", lambda: WordIds(path))
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
