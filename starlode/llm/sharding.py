@@ -27,18 +27,37 @@ ROUNDS = 6
 #: Units of at most one part in this many of all rows, or of so many rows where that is more (in small tables at most a
 #: quarter of a shard's share); so at most PARTS groups, or 4 a shard, are larger and are split.
 PARTS, SMALL_UNIT = 1024, 1000
-#: Buckets of the admission order, and of the ranks in a shard.
+#: Buckets of the admission order.
 BUCKETS = 256
+WINDOW_ROWS = 100_000
 GROUP = ["g1", "g2"]
 UNIT = [*GROUP, "part"]
 
 
-def base_rows(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, two hashes of the text (the group), a hash of the row, and the shard to start in."""
+def base_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, two hashes of the text (the group) and a hash of the row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"))
-    own = F.xxhash64("doc_id", "g1")
-    return rows.withColumn("own", own).withColumn("home", F.pmod("own", F.lit(shards)).cast("int"))
+    return rows.withColumn("own", F.xxhash64("doc_id", "g1"))
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with another hash (own) for each of identical rows, so that these spread like others.
+
+    They are numbered from 1, place by place within the partitions they were written from and by sums of partitions, so
+    that no task gets all of them; the numbers do not depend on the partitioning.
+    """
+    key = ["own", "g2"]
+    again = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return rows.drop("serial")
+    origin = F.shiftright("serial", 33).alias("origin")
+    copies = written(rows.join(again, key, "left_semi").select("*", origin), "copies")
+    sizes = copies.groupBy(*key, "origin").agg(F.count("*").alias("n"))
+    before = (F.sum("n").over(Window.partitionBy(*key).orderBy("origin")) - F.col("n")).alias("before")  # a row for each partition
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*key, "origin").orderBy("serial"))
+    numbered = copies.join(sizes.select(*key, "origin", before), [*key, "origin"]).withColumn("own", F.xxhash64("own", number))
+    return rows.join(again, key, "left_anti").drop("serial").unionByName(numbered.drop("serial", "origin", "before"))
 
 
 def propagate(cells: DataFrame, shares: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -80,12 +99,18 @@ def propagate(cells: DataFrame, shares: list[int], rounds: int = ROUNDS) -> Data
     return cells
 
 
+def row_buckets(total: int, shards: int) -> int:
+    """Buckets of rows in each shard and unit bucket: so many that a window gets about WINDOW_ROWS rows, at most 4096."""
+    return min(4096, max(16, 1 << (total // (shards * 16 * WINDOW_ROWS)).bit_length()))
+
+
 def evened(rows: DataFrame, shares: list[int]) -> DataFrame:
     """shard and slot of rows that have a wanted shard (lp) and say whether they are single."""
     shards = len(shares)
     fine = ["lp", "single", "unit_bucket", "row_bucket"]
-    rows = rows.withColumn("unit_bucket", F.pmod(F.xxhash64(*UNIT), F.lit(16))).withColumn("row_bucket", F.pmod(F.shiftright("own", 8), F.lit(16)))
-    counts = rows.groupBy(*fine).agg(F.count("*").alias("n"))  # shards * 2 * 16 * 16 rows at most
+    buckets = row_buckets(sum(shares), shards)
+    rows = rows.withColumn("unit_bucket", F.pmod(F.xxhash64(*UNIT), F.lit(16))).withColumn("row_bucket", F.pmod(F.shiftright("own", 8), F.lit(buckets)))
+    counts = rows.groupBy(*fine).agg(F.count("*").alias("n"))  # shards * 2 * 16 * buckets rows at most
     before = F.sum("n").over(Window.partitionBy("lp").orderBy(*fine[1:])) - F.col("n")
     counts = written(counts.withColumn("before", before), "counts")
     totals = {r["lp"]: r["n"] for r in counts.groupBy("lp").agg(F.sum("n").alias("n")).collect()}
@@ -108,8 +133,9 @@ def evened(rows: DataFrame, shares: list[int]) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and linked (whether others have the same text)."""
-    rows = written(base_rows(docs, shards), "rows")
+    rows = written(base_rows(docs).withColumn("serial", F.monotonically_increasing_id()), "rows")
     total = rows.count()
+    rows = told_apart(rows).withColumn("home", F.pmod("own", F.lit(shards)).cast("int"))
     shares = [total // shards + (j < total % shards) for j in range(shards)]
     limit = max(1, total // PARTS, min(SMALL_UNIT, total // (4 * shards)))
     groups = written(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1"), "groups")
