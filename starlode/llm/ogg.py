@@ -205,19 +205,19 @@ def read(data: bytes) -> Media:
     """Verifies, demultiplexes and reassembles; raises ValueError if there is no identification packet."""
     found, bad = pages(data)
     tracks: dict[int, Logical] = {}
-    rate = streams = 0
+    rate = streams = size = 0
     for stream in demultiplex(found).values():
         if stream.packets and stream.packets[0].data.startswith(MAGIC) and len(stream.packets[0].data) == IDENT.size:
-            _, _, k, streams, _, rate, _ = IDENT.unpack(stream.packets[0].data)
+            _, _, k, streams, size, rate, _ = IDENT.unpack(stream.packets[0].data)
             tracks[k] = stream
     if not tracks:
         raise ValueError("no stream of 8-bit samples")
-    order = [(i, k) for k, t in tracks.items() for i in range(1, len(t.packets))]
-    order.sort()
-    chosen = [tracks[k].packets[i] for i, k in order]
+    # A packet's place follows from where it begins in its stream, so that lost ones do not move those behind them.
+    begins = [(p.granule - len(p.data), k, i) for k, t in tracks.items() for i, p in enumerate(t.packets) if i and p.granule is not None]
+    chosen = [tracks[k].packets[i] for _, k, i in sorted((at // max(size, 1), k, i) for at, k, i in begins)]
     return Media(
         b"".join(p.data for p in chosen), rate, streams, len(chosen) + len(tracks), len(found), bad,
-        sum(t.lost for t in tracks.values()), [p.granule / rate if p.granule is not None else float("nan") for p in chosen],
+        sum(t.lost for t in tracks.values()), [p.granule / rate for p in chosen],
     )
 
 

@@ -4,7 +4,7 @@ The model's protobuf is parsed here (pieces with scores and types, model type, b
 tokenizer is rebuilt from it: normaliser (character map, extra white space, the leading metaspace, metaspaces for spaces),
 a unigram model from the scores or a BPE model whose merges follow from them, byte fallback, and the inverse decoder.
 
-Where no piece runs from another letter into a metaspace (this is checked; other models are encoded text by text), a text
+User-defined pieces of a BPE model are taken out before all others. Where no piece runs from another letter into a metaspace (this is checked; other models are encoded text by text), a text
 is the sequence of its chunks, cut before metaspaces and before marks that no piece has behind a letter. Each distinct chunk is encoded once, in
 multithreaded batches. Ids whose pieces give valid UTF-8 are decoded by joining bytes, others by the library's decoder.
 ``verified`` compares every text's ids with those of the sentencepiece library.
@@ -143,7 +143,10 @@ def rebuild(model: Model):
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == 1:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
+        # A user-defined piece is rated by its bytes, each as good as the best piece of the model, or 0 where that is less.
+        best = max([0.0, *(s for _, s, kind in model.pieces if kind == NORMAL)])
+        scored = [(p, len(p.encode()) * best - 0.1 if kind == USER else s) for p, s, kind in model.pieces]
+        core = models.Unigram(scored, unk_id=model.unknown, byte_fallback=model.byte_fallback)
     elif model.kind == 2:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
         core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
@@ -151,7 +154,7 @@ def rebuild(model: Model):
         raise ValueError(f"model type {model.kind}")
     steps: list = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ +| +$"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A +| +\z"), "")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE if model.escape else " "))
     if model.escape:
@@ -183,9 +186,26 @@ class Codec:
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare.normalizer = None
         self._reference = None
+        self.user_ids = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER and self.model.kind == 2}
+        self.user = re.compile("|".join(map(re.escape, sorted(self.user_ids, key=len, reverse=True)))) if self.user_ids else None
+
+    def apart(self, text: str) -> bytes:
+        """Ids of a text whose user-defined pieces are taken out first, the longest one at each place."""
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        out, at = [], 0
+        for m in [*self.user.finditer(text), None]:
+            part = text[at : m.start() if m else len(text)]
+            out += self.bare.encode(part, add_special_tokens=False).ids if part else []
+            if m:
+                out.append(self.user_ids[m[0]])
+                at = m.end()
+        return b"".join(i.to_bytes(4, "little") for i in out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.user:
+            return [self.apart(t) for t in texts]
         if self.cut is None:
             return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lead = SPACE if self.model.dummy_prefix else ""

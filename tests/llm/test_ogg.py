@@ -50,6 +50,24 @@ def test_damage_is_seen_and_skipped():
         ogg.read(b"OggS")
 
 
+@pytest.mark.parametrize("lost", [2, 3, 4, 7])
+def test_packets_behind_a_lost_page_stay_in_their_places(lost):
+    samples = bytes(i // 1000 % 251 for i in range(600_000))
+    whole = ogg.write(samples, 1000)
+    at = [i for i in range(len(whole)) if whole.startswith(b"OggS", i)]
+    got = ogg.read(whole[: at[lost]] + whole[at[lost + 1] :])
+    runs = [got.samples[a : a + 1000] for a in range(0, len(got.samples), 1000)]
+    assert got.lost_packets == 1 and all(len(set(r)) == 1 for r in runs) and len(runs) < 600
+    want = iter([i % 251 for i in range(600)])
+    assert all(any(v == r[0] for v in want) for r in runs)  # what is left is in its old order
+
+
+def test_feature_by_hand():
+    media = ogg.Media(bytes([128, 130, 126, 128]), 8000, 2, 3, 4, 0, 0, [0.00025, 0.00025])
+    # centred 0, 2, -2, 0: two changes of sign (below zero or not), rms sqrt(8 / 4), mean 512 / 4
+    assert ogg.feature(media) == "streams=2;pages=4;packets=3;bad=0;lost=0;seconds=0.000500;last=0.000250;mean=128.000000;rms=1.414214;peak=2;crossings=2"
+
+
 def test_columns(documents, texts):
     rows = [(i, t) for i, t in texts.items() if i < 40] + [(1000, None), (1001, ""), (1002, "é" * 64), (None, "x"), (1, texts[1])]
     got = ogg.roundtrip(documents(rows)).collect()

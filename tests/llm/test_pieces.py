@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 import sentencepiece
@@ -67,3 +68,44 @@ def test_unigram_models(codec):
     tokenizer = pieces.rebuild(model)
     assert tokenizer.encode("ab  ab", add_special_tokens=False).tokens == ["▁ab", "▁ab"]
     assert tokenizer.decode(tokenizer.encode("ab a").ids) == "ab a"
+
+
+def field(number, value):
+    """A field of a protobuf message, for models made by hand."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def made_model(kind, squeeze, user=()):
+    rng = random.Random(11)
+    entries = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    entries += [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)] + [(u, 0.0, pieces.USER) for u in user]
+    words = ["▁the", "▁table", "▁tab", "▁stable", "able", "▁an", "ant", "▁é", "été"]
+    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)} - set(user)
+    if kind == 1:
+        entries += [(p, -1.0 - 2 * len(p) * rng.random() - rng.random(), pieces.NORMAL) for p in sorted(parts)]
+    else:
+        entries += [(p, -float(i), pieces.NORMAL) for i, p in enumerate(sorted(parts, key=lambda p: (-len(p), p)))]
+    data = b"".join(field(1, field(1, p) + field(2, s) + field(3, k)) for p, s, k in entries)
+    return data + field(2, field(3, kind) + field(35, 1)) + field(3, field(1, "identity") + field(3, 1) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("kind, user", [(1, ()), (1, ("<x>", "<xx>")), (2, ()), (2, ("<x>", "<xx>"))])
+def test_parity_of_models_made_by_hand(tmp_path, kind, user, squeeze):
+    path = tmp_path / "made.model"
+    path.write_bytes(made_model(kind, squeeze, user))
+    own, rng = pieces.Codec(str(path)), random.Random(12)
+    bits = ["the", "table", "stable", "an", "ant", "été", "a", "b", "l", " ", " ", "  ", "漢", "😀", "z", "\n", *(["<x>", "<xx>", "<"] if user else [])]
+    texts = ["", " ", "the table", "  the  an "] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    reference = sentencepiece.SentencePieceProcessor(model_proto=path.read_bytes())
+    assert own.model.kind == kind and own.model.squeeze == squeeze
+    assert ids(own, texts) == reference.encode(texts)
