@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -9,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Beyond all codes.
+FAR = 1 << 40
+
 
 class Predicate:
     def __and__(self, other: Predicate) -> Predicate:
@@ -102,6 +106,16 @@ class Compare:
         return {"eq": c == v, "lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.op]
 
 
+    def span(self) -> tuple[int, int]:
+        """The whole numbers that can meet the comparison, as a half-open range; an open end is FAR."""
+        if self.op == "bt":
+            low, high = sorted((self.value, self.other))
+            return math.floor(low) + 1, math.ceil(high)
+        low = math.ceil(self.value) if self.op in ("eq", "ge") else math.floor(self.value) + 1 if self.op == "gt" else -FAR
+        high = math.floor(self.value) + 1 if self.op in ("eq", "le") else math.ceil(self.value) if self.op == "lt" else FAR
+        return low, high
+
+
 def conjunction(conditions: dict[str, Compare]) -> Column:
     return reduce(lambda a, b: a & b, (c.on(name) for name, c in conditions.items()), F.lit(True))
 

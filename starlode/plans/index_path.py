@@ -8,7 +8,7 @@ from starlode.functions.codes import year_starts
 from starlode.operators import bitmap
 from starlode.plans.ssb import QUERIES
 from starlode.sources.rows import numbered
-from starlode.sources.star import star
+from starlode.sources.star import nations, star
 
 
 def layout_of(kind: str, where) -> bitmap.Layout:
@@ -31,4 +31,4 @@ def run(spark: SparkSession, sf_dir: str, name: str, kind: str) -> DataFrame:
     query = QUERIES[name]
     rows = numbered(star(spark, sf_dir, query.dims))
     index, layout = indexed(rows, query.where, kind)
-    return query.grouped(bitmap.select(rows, query.where, index, layout, rows.count()))
+    return query.grouped(bitmap.select(rows, query.where, index, layout, rows.count()), nations(spark, sf_dir))

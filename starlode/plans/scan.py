@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlode.functions.predicates import Compare, conjunction
+from starlode.functions.predicates import Compare, Predicate, Range, all_of, conjunction
 
 #: Equal-depth areas of a column.
 AREAS = 128
@@ -16,6 +16,11 @@ def scan(rows: DataFrame, conditions: dict[str, Compare]) -> DataFrame:
     return rows.where(conjunction(conditions))
 
 
+def ranges(conditions: dict[str, Compare]) -> Predicate:
+    """Half-open ranges of whole numbers that hold all values which meet the conditions; open ends reach very far."""
+    return all_of(*[Range(name, *c.span()) for name, c in conditions.items()])
+
+
 def boundaries(rows: DataFrame, name: str, areas: int = AREAS, error: float = 0.0005) -> list[float]:
     """Values that part a column into areas of about equal numbers of rows; at most areas - 1, ascending."""
     return sorted(set(rows.approxQuantile(name, [i / areas for i in range(1, areas)], error)))

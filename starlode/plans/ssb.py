@@ -1,7 +1,7 @@
 """The thirteen star-schema benchmark queries, their twins with the reference's literals and keys, and wider variants.
 
 A query is data: a predicate over codes (for the scan path and the index path alike), the dimensions it needs, group keys
-and a measure. Results use labels and years; sums are signed 64-bit numbers. Years are those of the driver tables, three
+and a measure. Rows are grouped by codes; labels are added to the groups. Sums are signed 64-bit numbers. Years are those of the driver tables, three
 after the benchmark's.
 """
 
@@ -13,9 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlode.functions.codes import YEARS, day, year_starts
+from starlode.functions.codes import YEARS, brand_label, category_label, category_of, city_label, day, nation_of, year_starts
 from starlode.functions.predicates import And, Or, Predicate, Range, all_of
-from starlode.sources.star import STAR_SQL, star
+from starlode.sources.star import STAR_SQL, nations, star
+
+
+def key_columns() -> dict[str, tuple[Column, str, Column]]:
+    """For each group key: the code to group by, the column it stands in, and its label."""
+    found = {"year": (F.col("year"), "year", F.col("year")), "brand_name": (F.col("brand"), "brand", brand_label(F.col("brand")))}
+    found["category_name"] = (category_of(F.col("brand")), "category", category_label(F.col("category") * 40))
+    for p in "cs":
+        city, label = F.col(f"{p}_city"), F.col(f"{p}_label")
+        found[f"{p}_nation"] = (nation_of(city), f"{p}_nation", label)
+        found[f"{p}_city_name"] = (city, f"{p}_city", city_label(label, city))
+    return found
 
 
 @dataclass(frozen=True)
@@ -29,8 +40,18 @@ class Query:
         value = {"volume": F.col("price") * F.col("discount"), "revenue": F.col("revenue"), "profit": F.col("revenue") - F.col("lo_supplycost")}[self.measure]
         return F.sum(value).cast("bigint").alias(self.measure)
 
-    def grouped(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*self.keys).agg(self.measured()) if self.keys else rows.agg(self.measured())
+    def grouped(self, rows: DataFrame, nations: DataFrame) -> DataFrame:
+        """Sums of rows of codes by the group keys; nations (nation, nation_name) give names to the groups."""
+        if not self.keys:
+            return rows.agg(self.measured())
+        of = key_columns()
+        found = rows.groupBy(*[of[k][0].alias(of[k][1]) for k in self.keys]).agg(self.measured())
+        for place in dict.fromkeys(k[0] for k in self.keys if k[1] == "_"):
+            names = nations.select(F.col("nation").alias(f"{place}_at"), F.col("nation_name").alias(f"{place}_label"))
+            code = next(of[k][1] for k in self.keys if k.startswith(f"{place}_"))
+            at = nation_of(F.col(code)) if code.endswith("city") else F.col(code)
+            found = found.join(F.broadcast(names), at == F.col(f"{place}_at"))  # a row a nation
+        return found.select(*[of[k][2].alias(k) for k in self.keys], self.measure)
 
 
 def years(first: int, last: int) -> Range:
@@ -105,7 +126,7 @@ QUERIES: dict[str, Query] = {
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The query as filters, joins and one aggregation."""
     query = QUERIES[name]
-    return query.grouped(star(spark, sf_dir, query.dims).where(query.where.column()))
+    return query.grouped(star(spark, sf_dir, query.dims, query.where), nations(spark, sf_dir))
 
 
 def sql_of(where: Predicate) -> str:
@@ -128,6 +149,6 @@ def oracle(query: Query) -> str:
 def date_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1.1 with a date dimension joined on its day instead of a range of days; the same rows."""
     days = spark.range(year_starts()[YEARS]).select(F.col("id").cast("int").alias("d_day"), F.year(F.date_add(F.lit(datetime.date(1995, 1, 1)), F.col("id").cast("int"))).alias("d_year"))
-    rows = star(spark, sf_dir, ("date",)).join(days.where("d_year = 1996"), F.col("day") == F.col("d_day"))
-    kept = rows.where(all_of(Range("discount", 1, 4), Range("quantity", 1, 25)).column())
-    return QUERIES["ssb_q11"].grouped(kept)
+    kept = all_of(Range("discount", 1, 4), Range("quantity", 1, 25))
+    rows = star(spark, sf_dir, ("date",), kept).join(days.where("d_year = 1996"), F.col("day") == F.col("d_day"))
+    return QUERIES["ssb_q11"].grouped(rows, nations(spark, sf_dir))

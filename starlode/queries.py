@@ -53,7 +53,7 @@ _SCANS = {
 }
 for _name, (_conditions, _sql) in _SCANS.items():
     register(_name, f"SELECT {LINES}, quantity, discount, price FROM (SELECT *, {WHOLE_SQL} FROM lineitem) WHERE {_sql}")(
-        partial(lambda spark, sf_dir, conditions: scan.scan(facts(spark, sf_dir).drop("revenue"), conditions), conditions=_conditions)
+        partial(lambda spark, sf_dir, conditions: scan.scan(facts(spark, sf_dir, scan.ranges(conditions)).drop("revenue"), conditions), conditions=_conditions)
     )
 
 

@@ -1,70 +1,150 @@
-"""The star view over the driver tables: a fact row per line item, with codes, labels and whole numbers."""
+"""The star view over the driver tables: a fact row per line item, with codes and whole numbers, and labels of codes.
+
+Predicates are over codes, which are computed from columns; what they imply for the columns themselves is added to each
+table's scan (``implied``), so that it reaches the source as pushed filters and row groups can be skipped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlode.functions import codes
+from starlode.functions.predicates import And, Or, Predicate, Range
 
+#: Columns and types of the tables; declared, so that reading needs no look at a file first.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+NATIONS, REGIONS = 25, 5
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, where: Predicate | None = None) -> DataFrame:
+    """A table; with a predicate, without rows that cannot meet it (others may stay)."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    kept = implied(where, name) if where is not None else None
+    return rows if kept is None else rows.where(kept)
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(spark, sf_dir, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation")), "c")
 
+def _between(name: str, factor: int) -> Callable[[int, int], Column]:
+    """For codes that are round(column * factor): a little more than the values between."""
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(spark, sf_dir, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation")), "s")
+    def condition(lo: int, hi: int) -> Column:
+        return (F.col(name) >= (lo - 0.51) / factor) & (F.col(name) <= (hi - 0.49) / factor)
 
+    return condition
+
+
+def _cities(name: str) -> Callable[[int, int], Column]:
+    """For city codes: the nations that have cities in a range."""
+
+    def condition(lo: int, hi: int) -> Column:
+        first = {n: (n % REGIONS) * 50 + n // REGIONS * 10 for n in range(NATIONS)}
+        return F.col(name).isin([n for n, c in first.items() if c < hi and c + 10 > lo])
+
+    return condition
+
+
+def _brands(lo: int, hi: int) -> Column:
+    return F.col("p_brand").isin([f"Brand#{c + 1}" for c in range(NATIONS) if c * 40 < hi and c * 40 + 40 > lo])
+
+
+def _whole_from(lo: int, hi: int) -> Column:
+    """For quantities, which are cut to whole numbers; below 1 a cut number may be a fraction above."""
+    low = F.col("l_quantity") > lo - 1 if lo < 1 else F.col("l_quantity") >= lo
+    return low & (F.col("l_quantity") < max(hi, 1))
 
-def _places(spark: SparkSession, sf_dir: str, rows: DataFrame, prefix: str) -> DataFrame:
-    """<prefix>_key, _city, _city_name, _nation and _region of rows (key, nation)."""
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    city = codes.city_code(F.col("nation"), F.col("key"))
-    joined = rows.withColumn("city", city).join(nations, F.col("nation") == F.col("n_nationkey"))
-    return joined.select(
-        F.col("key").alias(f"{prefix}_key"), F.col("city").alias(f"{prefix}_city"), codes.city_label(F.col("n_name"), F.col("city")).alias(f"{prefix}_city_name"),
-        F.col("n_name").alias(f"{prefix}_nation"), F.col("r_name").alias(f"{prefix}_region"),
-    )
 
+def _days(lo: int, hi: int) -> Column:
+    at = [codes.FIRST_DAY + datetime.timedelta(d) for d in (lo, hi)]
+    return F.expr(f"o_orderdate >= TIMESTAMP_NTZ'{at[0]} 00:00:00' AND o_orderdate < TIMESTAMP_NTZ'{at[1]} 00:00:00'")
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+#: For each table, the codes that come from one of its columns, and what a range of codes says about that column.
+IMPLIED: dict[str, dict[str, Callable[[int, int], Column]]] = {
+    "lineitem": {"quantity": _whole_from, "discount": _between("l_discount", 100), "price": _between("l_extendedprice", 100)},
+    "orders": {"day": _days},
+    "supplier": {"s_city": _cities("s_nationkey")},
+    "customer": {"c_city": _cities("c_nationkey")},
+    "part": {"brand": _brands},
+}
+
+
+def implied(where: Predicate, name: str) -> Column | None:
+    """A condition on a table's columns that holds wherever the predicate does; None if there is no such."""
+    if isinstance(where, Range):
+        rule = IMPLIED.get(name, {}).get(where.name)
+        return rule(where.lo, where.hi) if rule else None
+    if isinstance(where, And):
+        found = [c for c in (implied(p, name) for p in where.parts) if c is not None]
+        return reduce(lambda a, b: a & b, found) if found else None
+    if isinstance(where, Or):
+        found = [implied(p, name) for p in where.parts]
+        return reduce(lambda a, b: a | b, found) if found and all(c is not None for c in found) else None
+    return None
+
+
+def customers(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
+    rows = table(spark, sf_dir, "customer", where)
+    return rows.select(F.col("c_custkey").alias("c_key"), codes.city_code(F.col("c_nationkey"), F.col("c_custkey")).alias("c_city"))
+
+
+def suppliers(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier", where)
+    return rows.select(F.col("s_suppkey").alias("s_key"), codes.city_code(F.col("s_nationkey"), F.col("s_suppkey")).alias("s_city"))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nation, nation_name) by nation code: the tens of city codes. One row a nation."""
+    return table(spark, sf_dir, "nation").select(codes.nation_of(codes.city_code(F.col("n_nationkey"), F.lit(0))).alias("nation"), F.col("n_name").alias("nation_name"))
+
+
+def parts(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
     brand = codes.brand_code(F.col("p_brand"), F.col("p_partkey"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p_key"), brand.alias("brand"), codes.whole(F.col("p_retailprice"), 60).alias("lo_supplycost"))
-    return rows.select("*", codes.brand_label(F.col("brand")).alias("brand_name"), codes.category_label(F.col("brand")).alias("category_name"))
+    return table(spark, sf_dir, "part", where).select(F.col("p_partkey").alias("p_key"), brand.alias("brand"), codes.whole(F.col("p_retailprice"), 60).alias("lo_supplycost"))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
     date = F.col("o_orderdate").cast("date")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", date.alias("date"))
+    rows = table(spark, sf_dir, "orders", where).select("o_orderkey", "o_custkey", date.alias("date"))
     return rows.select("*", codes.day_of(F.col("date")).alias("day"), F.year("date").alias("year"))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(
+def facts(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", where).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity"),
         codes.whole(F.col("l_discount"), 100).cast("int").alias("discount"), codes.whole(F.col("l_extendedprice"), 100).alias("price"),
     )
     return rows.withColumn("revenue", codes.discounted(F.col("price"), F.col("discount")))
 
 
-def star(spark: SparkSession, sf_dir: str, dims: tuple[str, ...] = ("date", "customer", "supplier", "part")) -> DataFrame:
-    """Facts with the dimensions asked for. Dimensions are small against facts, and smaller still once filtered; whether
-    one is broadcast is left to the optimiser, which knows its size. Customers and dates come over the orders."""
-    rows = facts(spark, sf_dir)
+def star(spark: SparkSession, sf_dir: str, dims: tuple[str, ...] = ("date", "customer", "supplier", "part"), where: Predicate | None = None) -> DataFrame:
+    """Facts with the codes of the dimensions asked for, of the rows that meet a predicate over codes.
+
+    Dimensions are small against facts, and smaller still once filtered; whether one is broadcast is left to the
+    optimiser, which knows its size. Customers and dates come over the orders.
+    """
+    rows = facts(spark, sf_dir, where)
     if "part" in dims:
-        rows = rows.join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_key"))
+        rows = rows.join(parts(spark, sf_dir, where), F.col("l_partkey") == F.col("p_key"))
     if "supplier" in dims:
-        rows = rows.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_key"))
+        rows = rows.join(suppliers(spark, sf_dir, where), F.col("l_suppkey") == F.col("s_key"))
     if "date" in dims or "customer" in dims:
-        dated = orders(spark, sf_dir)
+        dated = orders(spark, sf_dir, where)
         if "customer" in dims:
-            dated = dated.join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_key"))
+            dated = dated.join(customers(spark, sf_dir, where), F.col("o_custkey") == F.col("c_key"))
         rows = rows.join(dated, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows
+    return rows if where is None else rows.where(where.column())
 
 
 #: The same view for DuckDB.

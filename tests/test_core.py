@@ -51,8 +51,9 @@ def test_year_bounds():
 
 
 def test_profit_is_signed_and_groups_are_exact(spark):
-    rows = spark.createDataFrame([(1996, "A", 10, 40), (1996, "B", 10, 5), (1996, "A", 1, 1)], "year int, c_nation string, revenue long, lo_supplycost long")
-    got = {tuple(r) for r in QUERIES["ssb_q41"].grouped(rows).collect()}
+    rows = spark.createDataFrame([(1996, 57, 10, 40), (1996, 68, 10, 5), (1996, 51, 1, 1)], "year int, c_city int, revenue long, lo_supplycost long")
+    names = spark.createDataFrame([(5, "A"), (6, "B"), (7, "C")], "nation int, nation_name string")
+    got = {tuple(r) for r in QUERIES["ssb_q41"].grouped(rows, names).collect()}
     assert got == {(1996, "A", -30), (1996, "B", 5)}
 
 
