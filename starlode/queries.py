@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starlode.functions import codes
 from starlode.functions.predicates import Compare, Not, Range, all_of, any_of
-from starlode.operators import bitmap, joins, wah
+from starlode.operators import bitmap, joins, wah, words
 from starlode.plans import index_path, scan, ssb, synth
 from starlode.sources.rows import numbered
 from starlode.sources.star import STAR_SQL, facts, orders, star, table
@@ -32,9 +32,10 @@ for _name, _query in ssb.QUERIES.items():
     register(_name, ssb.oracle(_query))(partial(lambda spark, sf_dir, name: ssb.scan(spark, sf_dir, name), name=_name))
 register("ssb_q11_datejoin", ssb.oracle(ssb.QUERIES["ssb_q11"]))(ssb.date_joined)
 
-#: One query of each flight by every layout and recipe of the index; tests run all of them.
-for _kind, _of in (("sparse", "ssb_q11"), ("medium", "ssb_q21"), ("dense", "ssb_q32"), ("perfect", "ssb_q41"), ("many_or", "ssb_q43_wide"), ("candchk", "ssb_q12")):
-    register(f"bitmap_{_kind}", ssb.oracle(ssb.QUERIES[_of]))(partial(lambda spark, sf_dir, name, kind: index_path.run(spark, sf_dir, name, kind), name=_of, kind=_kind))
+#: The thirteen queries by every layout and recipe of the stored index.
+for _name in [n for n in ssb.QUERIES if len(n) == 7]:
+    for _kind in (*index_path.LAYOUTS, "perfect", "many_or", "candchk"):
+        register(f"bitmap_{_kind}_{_name[4:]}", ssb.oracle(ssb.QUERIES[_name]))(partial(lambda spark, sf_dir, name, kind: index_path.run(spark, sf_dir, name, kind), name=_name, kind=_kind))
 
 LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 WHOLE_SQL = "CAST(l_quantity AS INT) AS quantity, CAST(round(l_discount * 100) AS INT) AS discount, CAST(round(l_extendedprice * 100) AS BIGINT) AS price"
@@ -167,9 +168,9 @@ MISALIGNED = all_of(Not(Range("discount", 3, 7)), any_of(Range("quantity", 4, 23
 MISALIGNED_LAYOUT = {"discount": bitmap.Bins((0, 2, 5, 8, 11)), "quantity": bitmap.Bins((1, 11, 21, 31, 41, 51)), "price": bitmap.Bins(tuple(range(0, 20_000_001, 1_500_000)) + (1 << 40,))}
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    rows = numbered(facts(spark, sf_dir))
-    return rows, bitmap.stored(rows, MISALIGNED_LAYOUT), rows.count()
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, words.Index]:
+    rows = words.placed(numbered(facts(spark, sf_dir)))
+    return rows, words.build(rows, MISALIGNED_LAYOUT, words.buckets_for(rows.count()))
 
 
 @register(
@@ -177,14 +178,14 @@ def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, in
     f"SELECT {LINES}, price FROM (SELECT *, {WHOLE_SQL} FROM lineitem) WHERE NOT (discount >= 3 AND discount < 7) AND ((quantity >= 4 AND quantity < 23) OR (price >= 1000000 AND price < 2500000))",
 )
 def bitmap_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, index, n = _indexed(spark, sf_dir)
-    return bitmap.select(rows, MISALIGNED, index, MISALIGNED_LAYOUT, n).select(*LINES.split(", "), "price")
+    rows, index = _indexed(spark, sf_dir)
+    return words.select(rows, index, MISALIGNED, MISALIGNED_LAYOUT).select(*LINES.split(", "), "price")
 
 
 @register("bitmap_count", "SELECT count(*) AS possible, 0::BIGINT AS uncertain FROM lineitem WHERE round(l_discount * 100) >= 2 AND round(l_discount * 100) < 8 AND CAST(l_quantity AS INT) >= 11 AND CAST(l_quantity AS INT) < 31")
 def bitmap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, index, n = _indexed(spark, sf_dir)
-    return bitmap.cardinality(all_of(Range("discount", 2, 8), Range("quantity", 11, 31)), index, MISALIGNED_LAYOUT, n)
+    _, index = _indexed(spark, sf_dir)
+    return words.cardinality(index, all_of(Range("discount", 2, 8), Range("quantity", 11, 31)), MISALIGNED_LAYOUT)
 
 
 @register(
