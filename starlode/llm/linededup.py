@@ -29,7 +29,7 @@ PERCENT = 80
 #: A pair of likeness 0.8 shares none of 10 bands of 3 rows with a chance of 8 in 10,000; of 0.9, 2 in a million.
 BANDS, ROWS, SEED = 10, 3, 11
 #: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
-SKETCH = 256
+SKETCH = 2048
 #: Lines that a task remembers so as not to sign them again.
 SEEN = 200_000
 #: Bytes of text whose lines are signed at once, some 100 bytes of memory for each.

@@ -14,6 +14,7 @@ difference from below; a pair is spared only where sizes or this bound rule the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,28 +127,32 @@ def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
     return fits & (differing * (100 + percent) <= (F.col("n") + F.col(f"{prefix}n")) * (100 - percent))
 
 
+def folded(payload: DataFrame, marks: list[str], words: int = 4) -> DataFrame:
+    """(item, n, sketch) with shorter sketches: words that are laid over one another are the parities of united cells."""
+    rows = [marks[i::words] for i in range(min(words, len(marks)))]
+    return payload.select("item", "n", *[reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, r)).alias(f"s{i}") for i, r in enumerate(rows)])
+
+
 def linked(members: DataFrame, payload: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(node, component) of all items that have a verified link; a component is named by its least item.
 
     members is what ``shared_bands`` gives; payload has (item, n, sketch, text) of every item there.
     """
     marks = sketch_columns(payload)
-    own = payload.select("item", "n", *marks)
-    other = own.select(*[F.col(c).alias(f"c_{c}") for c in own.columns])
-    near = near_enough(marks, "c_", percent)
+    short = folded(payload, marks)
+    other = short.select(*[F.col(c).alias(f"c_{c}") for c in short.columns])
     ends = F.explode(F.array("c0", "c1")).alias("c_item")
     star = members.select("item", ends).where("item != c_item").select(F.least("item", "c_item").alias("item"), F.greatest("item", "c_item").alias("c_item")).distinct()
-    pairs = star.join(own, "item").join(other, "c_item").where(near).select(F.col("item").alias("a"), F.col("c_item").alias("b"))
+    pairs = star.join(short, "item").join(other, "c_item").where(near_enough(sketch_columns(short), "c_", percent)).select(F.col("item").alias("a"), F.col("c_item").alias("b"))
     tested = written(verified(pairs, payload, sets, percent), "tested")
     labels = connected(tested.where("ok"))
     # Each pair with a centre is done; the other items of a bucket meet across components.
     rest = members.where("item != c0 and item != c1").select("bucket", "item")
-    known = rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
-    known = written(known.join(own, "item"), "known")
+    known = written(rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("part")), "known")
     mixed = known.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-    active = written(known.join(mixed, "bucket"), "active")
-    second = active.select("bucket", F.col("part").alias("c_part"), *[F.col(c).alias(f"c_{c}") for c in own.columns])
-    met = active.join(second, "bucket").where((F.col("item") < F.col("c_item")) & (F.col("part") != F.col("c_part")) & near)
+    active = written(known.join(mixed, "bucket").join(payload.select("item", "n", *marks), "item"), "active")
+    second = active.select("bucket", F.col("part").alias("c_part"), *[F.col(c).alias(f"c_{c}") for c in ("item", "n", *marks)])
+    met = active.join(second, "bucket").where((F.col("item") < F.col("c_item")) & (F.col("part") != F.col("c_part")) & near_enough(marks, "c_", percent))
     pairs = met.select(F.col("item").alias("a"), F.col("c_item").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     fresh = written(verified(pairs, payload, sets, percent).where("ok"), "tested")
     return labels if fresh.isEmpty() else merged(labels, fresh)

@@ -43,3 +43,16 @@ def test_names_of_sets_do_not_depend_on_the_texts_around_them():
     for i in range(len(texts)):
         assert [x.tolist() for x in neardup.set_names(*neardup.shingle_sets(texts.slice(i, 1), 4))] == [[k1[i]], [k2[i]]]
     assert len(set(k1[:50].tolist())) == 7
+
+
+def test_folded_sketches_are_sketches_of_fewer_cells(spark):
+    rng = np.random.default_rng(2)
+    values = np.sort(rng.integers(0, 1 << 64, (40, 100), dtype=np.uint64), axis=1).reshape(-1)
+    marks = links.parities(values, np.full(40, 100), 2048).tolist()
+    names = [f"s{i}" for i in range(32)]
+    frame = spark.createDataFrame([(i, 100, *m) for i, m in enumerate(marks)], "item long, n long, " + ", ".join(f"{c} long" for c in names))
+    for r in links.folded(frame, names).collect():
+        bits = np.zeros(256, np.int64)
+        cells = (values.reshape(40, 100)[r["item"]] >> np.uint64(53)).astype(np.int64)  # 2048 cells: word i is laid on word i mod 4
+        np.add.at(bits, (cells // 64 % 4) * 64 + cells % 64, 1)
+        assert sum(bin(r[f"s{i}"] & (1 << 64) - 1).count("1") for i in range(4)) == int((bits & 1).sum())
