@@ -120,6 +120,35 @@ def combined_runs(left: DataFrame, right: DataFrame, op: str, name: str = "resul
     return compacted(cut.withColumn("bitmap", F.lit(name)))
 
 
+def combined_mixed(run_table: DataFrame, words: DataFrame, op: str, name: str = "result") -> DataFrame:
+    """Words of and, or or xor of a run table and another bitmap's words, without spreading fills for and.
+
+    The run that holds a word is the last one that begins at or before it; for or and xor all words of the runs that are
+    not zero count as well.
+    """
+    if op != "and":
+        spread = run_table.where("word != 0").select(F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word_no"), "word")
+        return combined(spread, words, op, name)
+    heads = run_table.select("chunk", F.col("start").alias("at"), F.col("word").alias("x"), F.lit(None).cast("bigint").alias("y"))
+    own = words.select(div(F.col("word_no"), CHUNK).alias("chunk"), F.col("word_no").alias("at"), F.lit(None).cast("bigint").alias("x"), F.col("word").alias("y"))
+    # Of equal places the run's head comes first, so that the word there sees it.
+    order = Window.partitionBy("chunk").orderBy("at", F.col("y").isNotNull())
+    both = heads.unionAll(own).withColumn("x", F.last("x", ignorenulls=True).over(order)).where("y is not null")
+    return both.select(F.lit(name).alias("bitmap"), F.col("at").alias("word_no"), F.col("x").bitwiseAND(F.col("y")).alias("word")).where("word != 0")
+
+
+def result_length(op: str, left: int, right: int) -> int:
+    """Words of the result of two bitmaps of different lengths: the shorter for and, the longer for or and xor."""
+    return min(left, right) if op == "and" else max(left, right)
+
+
+def first_set(words: DataFrame) -> DataFrame:
+    """(bitmap, row_id) of the first set bit of each bitmap that has one."""
+    lead = F.lit(BITS - 1) - F.floor(F.log2("word")).cast("int")
+    head = words.where("word != 0").groupBy("bitmap").agg(F.min(F.struct("word_no", "word")).alias("w")).select("bitmap", "w.*")
+    return head.select("bitmap", (F.col("word_no") * BITS + lead + 1).alias("row_id"))
+
+
 def compacted(run_table: DataFrame) -> DataFrame:
     """Runs with equal neighbours united."""
     order = Window.partitionBy("bitmap", "chunk").orderBy("start")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from starlode.functions import codes
 from starlode.functions.predicates import Compare, Not, Range, all_of, any_of
 from starlode.operators import bitmap, joins, wah, words
-from starlode.plans import index_path, scan, ssb, synth
+from starlode.plans import index_path, scan, ssb, synth, wah_cases
 from starlode.sources.rows import numbered
 from starlode.sources.star import STAR_SQL, facts, orders, star, table
 
@@ -199,32 +199,46 @@ def bitmap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Run-length bitmaps.
-def _words(spark: SparkSession, sf_dir: str, one: str, two: str) -> tuple[DataFrame, DataFrame, int]:
-    rows = numbered(facts(spark, sf_dir).select("quantity", "discount", "price"))
-    words = [wah.flat(rows.where(where), F.lit(name)) for name, where in (("one", one), ("two", two))]
-    return *words, rows.count()
-
-
 _ONE, _TWO = "discount = 0", "quantity < 25"
 _SQL = {_ONE: "round(l_discount * 100) = 0", _TWO: "CAST(l_quantity AS INT) < 25"}
 
 
-@register("wah_roundtrip", f"SELECT 'one' AS bitmap, count(*) AS rows FROM lineitem WHERE {_SQL[_ONE]}")
+
+def _ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Numbered rows, the words of both predicates, and the number of rows."""
+    rows = numbered(facts(spark, sf_dir).select("l_orderkey", "l_linenumber", "quantity", "discount"))
+    one, two = (wah.flat(rows.where(where), F.lit(name)) for name, where in (("one", _ONE), ("two", _TWO)))
+    return rows, one, two, rows.count()
+
+
+@register("wah_roundtrip", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_SQL[_ONE]}")
 def wah_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, _, n = _words(spark, sf_dir, _ONE, _TWO)
-    return wah.count(wah.decoded(wah.encoded(wah.runs(one, n))))
+    rows, one, _, n = _ordered(spark, sf_dir)
+    return wah_cases.rows_of(wah.decoded(wah.encoded(wah.runs(one, n))), rows)
 
 
 for _op, _sql in {"and": f"{_SQL[_ONE]} AND {_SQL[_TWO]}", "or": f"{_SQL[_ONE]} OR {_SQL[_TWO]}", "xor": f"({_SQL[_ONE]}) <> ({_SQL[_TWO]})"}.items():
 
     def _combine(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
-        one, two, n = _words(spark, sf_dir, _ONE, _TWO)
-        return wah.count(wah.decoded(wah.encoded(wah.combined_runs(wah.runs(one, n), wah.runs(two, n), op))))
+        rows, one, two, n = _ordered(spark, sf_dir)
+        return wah_cases.rows_of(wah.decoded(wah.encoded(wah.combined_runs(wah.runs(one, n), wah.runs(two, n), op))), rows)
+
+    def _mix(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
+        rows, one, two, n = _ordered(spark, sf_dir)
+        return wah_cases.rows_of(wah.combined_mixed(wah.runs(one, n), two, op), rows)
+
+    register(f"wah_{_op}", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_sql}")(partial(_combine, op=_op))
+    register(f"wah_mixed_{_op}", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_sql}")(partial(_mix, op=_op))
+
 
-    register(f"wah_{_op}", f"SELECT 'result' AS bitmap, count(*) AS rows FROM lineitem WHERE {_sql}")(partial(_combine, op=_op))
+@register("wah_andnot", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_SQL[_ONE]} AND NOT ({_SQL[_TWO]})")
+def wah_andnot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, one, two, _ = _ordered(spark, sf_dir)
+    return wah_cases.rows_of(wah.combined(one, two, "andnot"), rows)
 
 
-@register("wah_positions", f"SELECT count(*) AS n, count(*) AS distinct_rows FROM lineitem WHERE {_SQL[_ONE]} AND NOT ({_SQL[_TWO]})")
-def wah_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two, _ = _words(spark, sf_dir, _ONE, _TWO)
-    return wah.positions(wah.combined(one, two, "andnot")).agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("distinct_rows"))
+for _name in wah_cases.CASES:
+    register(f"wah_{_name}", wah_cases.case_sql(_name))(partial(wah_cases.case, name=_name))
+for _skew in wah_cases.SKEWS:
+    for _letter, _united in (("d", True), ("c", False)):
+        register(f"wah_z{round(_skew * 10)}{_letter}", wah_cases.skewed_sql(_skew, _united))(partial(wah_cases.skewed, skew=_skew, united=_united))

@@ -120,10 +120,11 @@ def orders(spark: SparkSession, sf_dir: str, where: Predicate | None = None) ->
     return rows.select("*", codes.day_of(F.col("date")).alias("day"), F.year("date").alias("year"))
 
 
-def facts(spark: SparkSession, sf_dir: str, where: Predicate | None = None) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, where: Predicate | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Facts of line items; with further columns where asked for."""
     rows = table(spark, sf_dir, "lineitem", where).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity"),
-        codes.whole(F.col("l_discount"), 100).cast("int").alias("discount"), codes.whole(F.col("l_extendedprice"), 100).alias("price"),
+        codes.whole(F.col("l_discount"), 100).cast("int").alias("discount"), codes.whole(F.col("l_extendedprice"), 100).alias("price"), *more,
     )
     return rows.withColumn("revenue", codes.discounted(F.col("price"), F.col("discount")))
 
