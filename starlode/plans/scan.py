@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlode.functions.predicates import Compare, Predicate, Range, all_of, conjunction
+from starlode.storage import shared_dir
 
 #: Equal-depth areas of a column.
 AREAS = 128
@@ -39,6 +42,20 @@ def sieved(rows: DataFrame, name: str, bounds: list[float]) -> DataFrame:
     return rows.withColumn("area", area_of(name, bounds))
 
 
+def stored(rows: DataFrame, name: str, bounds: list[float]) -> DataFrame:
+    """The sieved rows as a table with a folder for each area, so that a scan lists and reads only those it can meet."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/starlode-areas-{uuid.uuid4().hex}"
+    table = sieved(rows, name, bounds)
+    table.repartition("area", F.pmod(F.hash(*rows.columns), F.lit(4))).write.partitionBy("area").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def appended(table: DataFrame, rows: DataFrame, name: str, bounds: list[float]) -> DataFrame:
+    """A sieved table with further rows; values beyond the old ones fall in the first or the last area."""
+    return table.unionByName(sieved(rows, name, bounds))
+
+
 def areas_met(condition: Compare, bounds: list[float]) -> tuple[int, int]:
     """First and last area (inclusive) that can hold a value that meets a comparison."""
 
@@ -58,6 +75,34 @@ def sieve_scan(table: DataFrame, name: str, condition: Compare, bounds: list[flo
     return table.where((F.col("area") >= first) & (F.col("area") <= last)).where(condition.on(name))
 
 
+def complement(condition: Compare) -> list[Compare]:
+    """Comparisons, either of which holds exactly where the condition does not; for whole or fractional values alike."""
+    turned = {"lt": "ge", "ge": "lt", "gt": "le", "le": "gt"}
+    if condition.op in turned:
+        return [Compare(turned[condition.op], condition.value)]
+    low, high = sorted((condition.value, condition.value if condition.other is None else condition.other))
+    return [Compare("lt", low), Compare("gt", high)] if condition.op == "eq" else [Compare("le", low), Compare("ge", high)]
+
+
+def nearest_boundary(value: float, bounds: list[float]) -> tuple[int, bool] | None:
+    """The boundary next to a value, and whether rows below it are the smaller part of the table to look through: a scan for
+    the larger part may look through the smaller one and take what that leaves."""
+    if not bounds:
+        return None
+    at = min(range(len(bounds)), key=lambda i: (abs(bounds[i] - value), i))
+    return at, at + 1 <= (len(bounds) + 1) / 2
+
+
+def recoded(condition: Compare, codes: DataFrame) -> Compare:
+    """A comparison of values as one of the codes that ``ranks`` gives them; it selects the same rows.
+
+    codes has (value, code) of every value there is; the bounds are looked up, and the table stays where it is.
+    """
+    low, high = condition.span()
+    inside = codes.where((F.col("value") >= low) & (F.col("value") < high)).agg(F.min("code").alias("a"), F.max("code").alias("b")).first()
+    return Compare("bt", -2, -1) if inside["a"] is None else Compare("bt", inside["a"] - 1, inside["b"] + 1)
+
+
 def equal_rows(left: DataFrame, right: DataFrame) -> bool:
     """Whether two scans give the same rows, repeated ones included."""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from starlode.functions.predicates import Range
 
 TERMS = 50_000
+#: Fixed values, the grid of the study: skews, bits of the columns, and the largest share of a column in a window of WIDTH.
+SKEWS, COLUMN_BITS, WIDTH, LAST = (1.04, 1.08, 1.12, 1.16, 1.2), (16, 32), 60, 1023
+COLUMN_SHARES = (0.04, 0.06, 0.09, 0.12, 0.18, 0.25, 0.39, 0.51, 0.67, 0.82)
 
 
 def count_query(fact: DataFrame, dim: DataFrame, r1: tuple[int, int], r2: tuple[int, int], r3: tuple[int, int]) -> DataFrame:
@@ -47,3 +50,20 @@ def window_for(s: float, target: float, width: int = 60, last: int = 1023) -> in
             best, at = gap, start
         part += (powers[start + width] if start + width < len(powers) else 0) - powers[start]
     return at
+
+
+def first_window(s: float, most: float, width: int = WIDTH, last: int = LAST) -> int:
+    """The first window start whose share of a Zipf column is at most a bound, or the last start."""
+    norm, share = zeta(s), 0.0
+    weights = [(k + 1) ** -s / norm for k in range(last + width)]
+    share = sum(weights[:width])
+    for start in range(last):
+        if share <= most:
+            return start
+        share += weights[start + width] - weights[start]
+    return last
+
+
+def grid() -> list[tuple[float, int, float, int]]:
+    """(skew, bits, share, window start) of every point."""
+    return [(s, bits, share, first_window(s, share)) for s in SKEWS for bits in COLUMN_BITS for share in COLUMN_SHARES]

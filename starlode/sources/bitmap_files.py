@@ -20,6 +20,23 @@ HEAD, MAGIC = struct.Struct("<B3xIQQ"), 0x44F8A1EF
 LONG_RUN = 8
 
 
+def packed(ones: bool, codes: list[int], words: int) -> bytes:
+    """A file of codes that stand for so many words."""
+    return HEAD.pack(ones, MAGIC, len(codes), words) + np.array(codes, "<u4").tobytes()
+
+
+def unpacked(name: str, data: bytes) -> np.ndarray:
+    """The codes of a file; ValueError if it is damaged."""
+    if len(data) < HEAD.size or HEAD.unpack_from(data)[1] != MAGIC:
+        raise ValueError(f"{name} is no file of run-length words")
+    _, _, n, words = HEAD.unpack_from(data)
+    codes = np.frombuffer(data, "<u4", offset=HEAD.size, count=min(n, (len(data) - HEAD.size) // 4)).astype(np.int64)
+    length = int(np.where(codes >= wah.FILL, codes & wah.LENGTH, 1).sum())
+    if len(codes) != n or length != words:
+        raise ValueError(f"{name}: {len(codes)} of {n} codes for {length} of {words} words")
+    return codes
+
+
 def has_one_fills(runs: DataFrame) -> DataFrame:
     """(bitmap, one_fills): whether a bitmap's codes should have fills of ones."""
     return wah.longest_ones(runs).select("bitmap", (F.col("longest") > LONG_RUN).alias("one_fills"))
@@ -35,9 +52,7 @@ def contents(runs: DataFrame, n_rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = []
-            for ones, values in zip(batch.column("one_fills").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                files.append(HEAD.pack(ones, MAGIC, len(values), total) + np.array(values, "<u4").tobytes())
+            files = [packed(ones, values, total) for ones, values in zip(batch.column("one_fills").to_pylist(), batch.column("codes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("bitmap"), pa.array(files, pa.binary())], names=["bitmap", "content"])
 
     ship(runs.sparkSession)
@@ -51,13 +66,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("bitmap").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if len(data) < HEAD.size or HEAD.unpack_from(data)[1] != MAGIC:
-                    raise ValueError(f"{name} is no file of run-length words")
-                _, _, n, words = HEAD.unpack_from(data)
-                codes = np.frombuffer(data, "<u4", offset=HEAD.size, count=min(n, (len(data) - HEAD.size) // 4)).astype(np.int64)
-                length = int(np.where(codes >= wah.FILL, codes & wah.LENGTH, 1).sum())
-                if len(codes) != n or length != words:
-                    raise ValueError(f"{name}: {len(codes)} of {n} codes for {length} of {words} words")
+                codes = unpacked(name, data)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0]), pa.array([codes.tolist()], pa.list_(pa.int64()))], names=["bitmap", "chunk", "codes"])
 
     ship(spark)

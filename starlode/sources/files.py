@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlode.sources.rows import numbered
 from starlode.storage import ship
 
 #: Column names and widths of the benchmark's text tables. Numbers: i; text: s.
@@ -56,9 +57,14 @@ def extract(rows: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct values in order, numbered from 0. A dictionary is meant for few distinct values."""
-    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    """(value, code): distinct values in order, numbered from 0: sorted by ranges, then numbered within and across them."""
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value")
+    return numbered(values, "code").withColumn("code", F.col("code") - 1)
+
+
+def sorted_columns(rows: DataFrame, key: str, positions: str = "position") -> DataFrame:
+    """All columns in the order of one of them, with places from 0: the argsort, and the columns sorted by it."""
+    return numbered(rows.orderBy(key), positions).withColumn(positions, F.col(positions) - 1)
 
 
 def encode(rows: DataFrame, codes: DataFrame, column: str) -> DataFrame:
