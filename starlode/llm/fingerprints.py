@@ -29,12 +29,14 @@ SEED = 20
 #: A pair of likeness 0.8 shares none of 32 bands of 4 rows with a chance of 5 in 100 million.
 BANDS, ROWS = 32, 4
 PERCENT = 80
+#: Bytes of text that a task of ``against_edits`` gets, about; the number of buckets follows the table's size.
+BUCKET_BYTES = 64 << 20
 
 
 def signature(texts: pa.Array, n: int = PERMUTATIONS, shingle: int = SHINGLE) -> np.ndarray:
     found, counts = hashing.words(*common.text_buffer(texts), lower=True)
     values, counts = hashing.word_shingles(found, counts, shingle)
-    return hashing.minhash(hashing.top32(values), counts, n, SEED)
+    return hashing.universal_minhash(hashing.top32(values), counts, n, SEED)
 
 
 def fingerprint(minima: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def bands_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values, counts = neardup.shingle_sets(texts, SHINGLE)
-    minima = hashing.minhash(hashing.top32(values), counts, BANDS * ROWS, SEED)
+    minima = hashing.universal_minhash(hashing.top32(values), counts, BANDS * ROWS, SEED)
     return values, counts, hashing.signed(hashing.band_keys(minima, ROWS))
 
 
@@ -127,7 +129,8 @@ EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
 
 def against_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likenesses; see EDITS."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def finish(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
         changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]

@@ -164,8 +164,39 @@ def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[new], np.diff(np.append(0, np.cumsum(new))[at])
 
 
+#: A Mersenne prime; x -> (a x + b) mod it are universal permutations of the numbers below it.
+PRIME = (1 << 31) - 1
+
+
+def universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (not 0) and addends of n universal hash permutations of the numbers below PRIME."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, PRIME, n, dtype=U), rng.integers(0, PRIME, n, dtype=U)
+
+
+def universal_minhash(values: np.ndarray, counts: np.ndarray, n: int, seed: int, block: int = 1 << 15) -> np.ndarray:
+    """The minima of n universal permutations over each group of 32-bit hashes, of which 31 bits count; all ones for none."""
+    mult, add = universal(n, seed)
+    out = np.full((len(counts), n), 0xFFFFFFFF, np.uint32)
+    at = bounds_of(counts)
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + block, side="right")) - 1)
+        full = low + np.flatnonzero(counts[low:high])
+        for a in range(int(at[low]), int(at[high]), block):
+            x = (values[a : min(a + block, int(at[high]))] >> np.uint32(1)).astype(U)
+            heads = np.maximum(at[full] - a, 0)
+            for j in range(n):
+                y = x * mult[j] + add[j]  # below 2**62
+                y = (y & U(PRIME)) + (y >> U(31))
+                y = (y & U(PRIME)) + (y >> U(31))  # at most PRIME, which stands for 0 of one number
+                out[full, j] = np.minimum(out[full, j], np.minimum.reduceat(y, heads).astype(np.uint32))
+        low = high
+    return out
+
+
 def family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of n universal hash permutations of the 32-bit numbers."""
+    """Odd multipliers and addends of n hash permutations of the 32-bit numbers."""
     rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
