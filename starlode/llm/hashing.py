@@ -118,16 +118,22 @@ def windows(codes: np.ndarray, k: int, kind: type = np.uint32) -> np.ndarray:
         half = width // 2
         low = of(half)
         high = low if half * 2 == width else of(width - half)
-        out = low.copy()
-        if len(out) > half:
-            out[:-half] += high[half:] * kind(pow(base, half, wide))
+        if len(low) <= half:
+            return low
+        out = np.empty_like(low)
+        np.multiply(high[half:], kind(pow(base, half, wide)), out=out[:-half])
+        out[:-half] += low[:-half]
+        out[-half:] = low[-half:]
         return out
 
     return of(k)
 
 
-def char_shingles(codes: np.ndarray, at: np.ndarray, k: int, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of k codes of each group, in order; a shorter group is one shingle, an empty one has none."""
+def char_shingles(codes: np.ndarray, at: np.ndarray, k: int, kind: type = np.uint32, padded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of k codes of each group, in order; a shorter group is one shingle, an empty one has none.
+
+    Padded, a group keeps all its places, and those beyond its last shingle repeat its first one: the same set, not copied.
+    """
     counts = np.diff(at)
     made = np.maximum(counts - k + 1, (counts > 0).astype(counts.dtype))
     value = windows(codes, k, kind)
@@ -140,6 +146,11 @@ def char_shingles(codes: np.ndarray, at: np.ndarray, k: int, kind: type = np.uin
         alone[more] += (codes[at[short][more] + j].astype(kind) + kind(1)) * kind(pow(base, j + k, wide))
     value[at[short]] = alone
     # Of a group's places those beyond its last shingle go: at most k - 1, at its end.
+    if padded:
+        for j in range(1, k):
+            more = counts >= j + 1
+            value[at[1:][more] - j] = value[at[:-1][more]]
+        return (mix32 if kind is np.uint32 else mix)(value), counts
     keep = np.ones(len(codes), bool)
     for j in range(1, k):
         keep[at[1:][counts >= j + 1] - j] = False

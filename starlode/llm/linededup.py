@@ -28,8 +28,9 @@ SHINGLE = 8
 PERCENT = 80
 #: A pair of likeness 0.8 shares none of 10 bands of 3 rows with a chance of 8 in 10,000; of 0.9, 2 in a million.
 BANDS, ROWS, SEED = 10, 3, 11
-#: Bits of the sketch that rules candidates out whose sets differ in too many shingles; a power of two.
-SKETCH = 2048
+#: Bits of the sketches that rule candidates out whose sets differ in too many shingles, powers of two: every candidate has
+#: the short one, and those that meet across components the long one too.
+SHORT, SKETCH = 256, 2048
 #: Lines that a task remembers so as not to sign them again.
 SEEN = 200_000
 #: Bytes of text whose lines are signed at once, some 100 bytes of memory for each.
@@ -58,7 +59,7 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def line_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of the k-character shingles of each line, and their numbers."""
-    return hashing.distinct(*hashing.char_shingles(*codes_of(texts.to_pylist()), k, hashing.U))
+    return hashing.distinct(*hashing.char_shingles(*codes_of(texts.to_pylist()), k, hashing.U, padded=True))
 
 
 def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -83,7 +84,7 @@ def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROW
                             fresh.append(clean)
             if not names:
                 continue
-            values, counts = hashing.char_shingles(*codes_of(fresh), k)
+            values, counts = hashing.char_shingles(*codes_of(fresh), k, padded=True)
             keys = hashing.signed(hashing.band_keys(hashing.minhash(values, counts, bands * rows, SEED), rows))
             place = np.full(len(names), -1)
             place[fresh_at] = np.arange(len(fresh_at))
@@ -102,7 +103,7 @@ def lines(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROW
 def line_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(item, id2, n, sketch, text) of the lines whose first name is among ids (item); one line for each of these."""
     bits = docs.sparkSession.sparkContext.broadcast(links.sketch(ids))
-    kinds = "id2 long, " + links.payload_schema(SKETCH)
+    kinds = "id2 long, " + links.payload_schema(SHORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
@@ -121,7 +122,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     fresh[v] = i
             at = list(fresh.values())
             texts = pa.array([found[i] for i in at], pa.string())
-            yield common.batch_of(id2=pa.array(names[at, 1]), item=pa.array(names[at, 0]), **links.attributes_of(*line_sets(texts, k), SKETCH), text=texts)
+            yield common.batch_of(id2=pa.array(names[at, 1]), item=pa.array(names[at, 0]), **links.attributes_of(*line_sets(texts, k), SHORT), text=texts)
 
     common.prepare(docs.sparkSession)
     texts = docs.where("doc_id is not null").select("text").mapInArrow(run, kinds)
@@ -133,7 +134,7 @@ def repeated_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     table = written(lines(docs, k), "lines")
     members = links.shared_bands(table.select(F.col("id").alias("item"), "bands"))
     payload = written(line_texts(docs, members.select("item").distinct(), k), "texts")
-    labels = links.linked(members, payload, partial(line_sets, k=k), percent)
+    labels = links.linked(members, payload, partial(line_sets, k=k), percent, SKETCH)
     named = written(payload.select(F.col("item").alias("id"), "id2").join(labels.withColumnRenamed("node", "id"), "id"), "named")
     # Most lines occur once and are in no component; only the occurrences of the others are looked at again.
     rows = table.select("doc_id", "h", "pos", "id", "id2")

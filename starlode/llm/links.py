@@ -27,6 +27,8 @@ from starlode.llm.components import connected
 
 #: Bits of a membership sketch: a fixed size, whatever the input. A false hit only lets a row through to an exact join.
 SKETCH_BITS = 1 << 24
+#: Cells of sketches that are counted at once, eight bytes each.
+CELLS = 1 << 19
 
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -92,10 +94,15 @@ def sketch_columns(frame: DataFrame) -> list[str]:
 
 def parities(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The parity of the number of distinct hashes in each of ``size`` cells (their top bits), in 64-bit words."""
-    group = np.repeat(np.arange(len(counts)), counts)
     cell = (values >> hashing.U(65 - size.bit_length())).astype(np.int64)
-    bits = np.bincount(group * size + cell, minlength=len(counts) * size) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
+    at, step = hashing.bounds_of(counts), max(1, CELLS // size)
+    out = np.empty((len(counts), size // 64), np.int64)
+    for low in range(0, len(counts), step):
+        some = counts[low : low + step]
+        group = np.repeat(np.arange(len(some)), some)
+        bits = np.bincount(group * size + cell[at[low] : at[low + len(some)]], minlength=len(some) * size) & 1
+        out[low : low + step] = np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
+    return out
 
 
 def attributes_of(values: np.ndarray, counts: np.ndarray, size: int) -> dict[str, pa.Array]:
@@ -121,10 +128,27 @@ def near_enough(marks: list[str], prefix: str, percent: int) -> Column:
     likeness of (n + m - d) / (n + m + d), and at most d bits of their sketches differ.
     """
     fits = sizes_fit("n", f"{prefix}n", percent)
-    if not marks:
-        return fits
-    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{prefix}{c}"))) for c in marks), F.lit(0))
-    return fits & (differing * (100 + percent) <= (F.col("n") + F.col(f"{prefix}n")) * (100 - percent))
+    return fits & few_differ([(F.col(c), F.col(f"{prefix}{c}")) for c in marks], prefix, percent) if marks else fits
+
+
+def few_differ(words: list[tuple[Column, Column]], prefix: str, percent: int) -> Column:
+    differing = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in words), F.lit(0))
+    return differing * (100 + percent) <= (F.col("n") + F.col(f"{prefix}n")) * (100 - percent)
+
+
+def widened(payload: DataFrame, sets: Sets, size: int) -> DataFrame:
+    """(item, n, sketch, wide) with a sketch of ``size`` bits, made from the text, in the fields s0, s1 ... of wide: a struct
+    is one column to a join, whose fields are read only of pairs that the shorter sketch lets through."""
+    own = ["item", "n", *sketch_columns(payload)]
+    fields = [f"s{i}" for i in range(size // 64)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = parities(*sets(batch.column("text")), size)
+        wide = pa.StructArray.from_arrays([pa.array(marks[:, i]) for i in range(len(fields))], fields)
+        return common.batch_of(**{c: batch.column(c) for c in own}, wide=wide)
+
+    schema = ", ".join(f"{c} long" for c in own) + f", wide struct<{', '.join(f'{c}: long' for c in fields)}>"
+    return common.map_slices(payload.select(*own, "text"), run, schema)
 
 
 def folded(payload: DataFrame, marks: list[str], words: int = 4) -> DataFrame:
@@ -133,10 +157,11 @@ def folded(payload: DataFrame, marks: list[str], words: int = 4) -> DataFrame:
     return payload.select("item", "n", *[reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, r)).alias(f"s{i}") for i, r in enumerate(rows)])
 
 
-def linked(members: DataFrame, payload: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, sets: Sets, percent: int, size: int = 0) -> DataFrame:
     """(node, component) of all items that have a verified link; a component is named by its least item.
 
-    members is what ``shared_bands`` gives; payload has (item, n, sketch, text) of every item there.
+    members is what ``shared_bands`` gives; payload has (item, n, sketch, text) of every item there. With a size, the items
+    that meet across components have a sketch of so many bits besides, which is made for these alone.
     """
     marks = sketch_columns(payload)
     short = folded(payload, marks)
@@ -150,9 +175,15 @@ def linked(members: DataFrame, payload: DataFrame, sets: Sets, percent: int) ->
     rest = members.where("item != c0 and item != c1").select("bucket", "item")
     known = written(rest.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("part")), "known")
     mixed = known.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-    active = written(known.join(mixed, "bucket").join(payload.select("item", "n", *marks), "item"), "active")
-    second = active.select("bucket", F.col("part").alias("c_part"), *[F.col(c).alias(f"c_{c}") for c in ("item", "n", *marks)])
-    met = active.join(second, "bucket").where((F.col("item") < F.col("c_item")) & (F.col("part") != F.col("c_part")) & near_enough(marks, "c_", percent))
+    across, attributes = known.join(mixed, "bucket"), payload.select("item", "n", *marks)
+    near = near_enough(marks, "c_", percent)
+    if size:
+        across = written(across, "across")
+        attributes = widened(payload.join(across.select("item").distinct(), "item", "left_semi"), sets, size)
+        near &= few_differ([(F.col("wide")[f"s{i}"], F.col("c_wide")[f"s{i}"]) for i in range(size // 64)], "c_", percent)
+    active = written(across.join(attributes, "item"), "active")
+    second = active.select(*[F.col(c).alias(c if c == "bucket" else f"c_{c}") for c in active.columns])
+    met = active.join(second, "bucket").where((F.col("item") < F.col("c_item")) & (F.col("part") != F.col("c_part")) & near)
     pairs = met.select(F.col("item").alias("a"), F.col("c_item").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     fresh = written(verified(pairs, payload, sets, percent).where("ok"), "tested")
     return labels if fresh.isEmpty() else merged(labels, fresh)
