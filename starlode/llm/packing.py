@@ -13,17 +13,20 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlode.llm import common
+from starlode.llm.merging import LONGEST, Merges
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -31,6 +34,8 @@ CHUNK = 65536
 NODE_ITEMS = 32768
 SLACK = 16
 CACHE_WORDS = 500_000
+#: Words that are looked up at once.
+BLOCK_WORDS = 250_000
 #: Bits of a bin's number: level, node, chunk of a partition, place in the node.
 LEVEL_BITS, NODE_BITS, CHUNK_BITS, PLACE_BITS = 5, 24, 14, 20
 
@@ -42,43 +47,108 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of words between ASCII white space, by the tokenizers library, remembered.
+#: The steps of the tokenizers files that are followed here: how texts are cleaned and taken apart.
+CLEANED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+LETTER, NUMBER, MARK, END, OTHER = range(1, 6)
+#: Characters from here on, and those that a rule of their own may start with, are left to the library.
+BEYOND, RULED = 0x250, "'<"
+
+
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every character below BEYOND and its lower case; all at BEYOND and above count as that one."""
+    kind, small = np.full(BEYOND + 1, OTHER, np.int8), np.full(BEYOND + 1, ord("?"), np.uint32)
+    for c in map(chr, range(0x21, BEYOND)):
+        low = c.lower()
+        found = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], MARK if c < "\x7f" and c not in RULED else OTHER)
+        if found != OTHER and len(low) == 1 and ord(low) < BEYOND:
+            kind[ord(c)], small[ord(c)] = found, ord(low)
+    kind[ord("\n")] = END
+    return kind, small
+
+
+class WordIds:
+    """Little-endian unsigned 32-bit ids of words between ASCII white space, remembered.
 
     The tokenizer drops white space and none of its rules reaches over it, so that the ids of a text are those of its
-    words one after the other. Words that differ in ASCII case are one; marks behind a letter or digit are a token of
-    their own; words of Latin letters go straight to the tokenizer's model, all others through all of its steps.
+    words one after the other. Words that differ in ASCII case are one. New words of Latin letters, digits and ASCII marks
+    are taken apart and merged many at once, as the tokenizer would; all others go through the tokenizers library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = self.fresh(word)
-        return value
-
-    def fresh(self, word: bytes) -> bytes:
-        if b"<|" not in word and (low := word.lower()) != word:
-            return self[low]
-        head = word.rstrip(b".,;:!?")
-        if head != word and head[-1:].isalnum():  # an ASCII letter or digit
-            return self[head] + self[word[len(head) :]]
-        text = word.decode()
-        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            small = unicodedata.normalize("NFC", text).lower().encode()
-            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, small)))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.known: dict[bytes, bytes] = {}
+        self.merges = None
+        with open(path, encoding="utf-8") as f:
+            self.follow(json.load(f))
+
+    def follow(self, rules: dict) -> None:
+        """Takes the merges over, if the file's other rules are those that are followed here."""
+        model, steps = rules["model"], (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+        cleaned = (rules.get("normalizer") or {}).get("normalizers") == CLEANED
+        split = len(steps) == 2 and steps[0] == SPLIT and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+        apart = rules.get("post_processor") is None and all("<" in t["content"] for t in rules.get("added_tokens", ()))
+        vocab, letters = model["vocab"], byte_letters()
+        if plain and cleaned and split and apart and all(x in vocab and x + "</w>" in vocab for x in letters):
+            self.inner, self.last = (np.array([vocab[x + end] for x in letters], np.int32) for end in ("", "</w>"))
+            pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+            self.merges = Merges(((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), max(vocab.values()) + 1)
+            self.kind, self.small = kinds()
+
+    def by_library(self, word: bytes) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words in."""
+        most = 4 * LONGEST if self.merges else 0
+        self.known.update((w, self.by_library(w)) for w in words if len(w) > most)
+        if not (words := [w for w in words if len(w) <= most]):
+            return
+        points = np.minimum(np.frombuffer((b"\n".join(words) + b"\n").decode().encode("utf-32-le"), np.uint32), BEYOND)
+        kind, points = self.kind[points], self.small[points]
+        stops = np.flatnonzero(kind == END)
+        edge = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)))
+        # Where characters begin in UTF-8: those below BEYOND have two bytes at most.
+        at = np.append(0, np.cumsum(1 + (points >= 0x80)))
+        raw = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+        first, end = at[edge], at[np.append(edge[1:], len(kind))]
+        part = kind[edge] != END
+        word, first, end, odd = np.searchsorted(stops, edge[part]), first[part], end[part], (kind[edge] == OTHER)[part]
+        left_out = np.zeros(len(words), bool)
+        left_out[word[odd | (end - first > LONGEST)]] = True
+        taken = ~left_out[word]
+        word, first, end = word[taken], first[taken], end[taken]
+        symbols = self.inner[raw]
+        symbols[end - 1] = self.last[raw[end - 1]]
+        ids, counts = self.merges.merged(symbols, first, end - first)
+        data, stop = ids.astype("<u4").tobytes(), 4 * np.cumsum(np.bincount(word, counts, len(words)).astype(np.int64))
+        values = [data[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        for i in np.flatnonzero(left_out).tolist():
+            values[i] = self.by_library(words[i])
+        self.known.update(zip(words, values, strict=True))
+
+    def joined(self, rows: list[list[bytes]]) -> list[bytes]:
+        """Ids of each row of words."""
+        fresh = set().union(*rows).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = set().union(*rows)
+        self.learn(list(fresh))
+        return [b"".join(map(self.known.__getitem__, row)) for row in rows]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        rows = [(data if b"<|" in (data := t.encode()) else data.lower()).split() for t in texts]
+        if sum(map(len, rows)) <= BLOCK_WORDS:
+            return self.joined(rows)
+        return [b"".join(self.joined([row[i : i + BLOCK_WORDS]])[0] for i in range(0, len(row), BLOCK_WORDS)) for row in rows]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        return self.of_all([text])[0]
 
 
 def word_ids(path: str) -> WordIds:
@@ -144,8 +214,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         ids, rows, number = word_ids(tokenizer), [], 0
         part = TaskContext.get().partitionId()
         for batch in common.slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = ids.of(text or "") + tail
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids.of_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                data += tail
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
