@@ -5,8 +5,8 @@ tokenizer is rebuilt from it: normaliser (character map, extra white space, the
 a unigram model from the scores or a BPE model whose merges follow from them, byte fallback, and the inverse decoder.
 
 User-defined pieces of a BPE model are taken out before all others. Where no piece runs from another letter into a metaspace (this is checked; other models are encoded text by text), a text
-is the sequence of its chunks, cut before metaspaces and before marks that no piece has behind a letter. Each distinct chunk is encoded once, in
-multithreaded batches. Ids whose pieces give valid UTF-8 are decoded by joining bytes, others by the library's decoder.
+is the sequence of its chunks, cut before metaspaces and before marks that no piece has behind a letter. Each distinct chunk is encoded once: those of a BPE
+model's own letters are merged many at once, all others go through the library in batches. Ids whose pieces give valid UTF-8 are decoded by joining bytes, others by the library's decoder.
 ``verified`` compares every text's ids with those of the sentencepiece library.
 
 Defined results: a null text is an empty one and has no ids; an empty list of ids decodes to an empty text; ids outside
@@ -22,10 +22,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from starlode.llm import common
+from starlode.llm.merging import LONGEST, Merges
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -33,6 +35,8 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Marks before which a text may be cut behind a letter, if no piece has the mark there.
 MARKS = "\n\t.,;:!?|*#%&$()[]{}<>=+-_/\\\"'@~^`"
 CACHE_CHUNKS = 400_000
+#: New chunks that are merged, and ids that are decoded, at once.
+BLOCK = 1 << 17
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -138,8 +142,8 @@ def cuts(model: Model) -> re.Pattern | None:
     return re.compile(f"(?s)(?=.){SPACE}*{other}*(?:[{LETTERS}]+(?:{plain}{other}*[{LETTERS}]*)*)?")
 
 
-def rebuild(model: Model):
-    """A tokenizers.Tokenizer with the model's normaliser, pieces and decoder."""
+def rebuild(model: Model, joins: list[tuple[str, str]] | None = None):
+    """A tokenizers.Tokenizer with the model's normaliser, pieces and decoder; ``joins`` are a BPE model's merges, if known."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == 1:
@@ -149,7 +153,7 @@ def rebuild(model: Model):
         core = models.Unigram(scored, unk_id=model.unknown, byte_fallback=model.byte_fallback)
     elif model.kind == 2:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+        core = models.BPE(vocab, merges(model) if joins is None else joins, unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
         raise ValueError(f"model type {model.kind}")
     steps: list = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -177,10 +181,22 @@ class Codec:
         with open(path, "rb") as f:
             self.data = f.read()
         self.model = parse(self.data)
-        self.tokenizer = rebuild(self.model)
+        joins = merges(self.model) if self.model.kind == 2 else None
+        self.tokenizer = rebuild(self.model, joins)
         self.cut = cuts(self.model)
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in self.model.pieces]
+        spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else (p.replace(SPACE, " ") if self.model.escape else p).encode() for p, _, k in self.model.pieces]
+        self.spelled, self.sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(b) for b in spelled], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
         self.chunks: dict[str, bytes] = {}
+        self.merges = None
+        if joins is not None and self.cut is not None:
+            vocab = {p: i for i, (p, _, _) in enumerate(self.model.pieces)}
+            self.merges = Merges(((vocab[a], vocab[b], vocab[a + b]) for a, b in joins), len(self.model.pieces))
+            # ASCII characters that are no pieces become their bytes' pieces, which no merge has.
+            letters = {b: vocab[f"<0x{b:02X}>"] for b in range(128) if self.model.byte_fallback and self.model.pieces[vocab.get(f"<0x{b:02X}>", 0)][2] == BYTE}
+            letters |= {ord(p): i for p, i in vocab.items() if len(p) == 1}
+            self.letters = np.full(max(letters, default=0) + 2, -1, np.int32)  # the last one stands for all beyond
+            self.letters[list(letters)] = list(letters.values())
         from tokenizers import Tokenizer
 
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
@@ -211,27 +227,59 @@ class Codec:
         lead = SPACE if self.model.dummy_prefix else ""
         cut = [self.cut.findall(lead + t.replace(" ", SPACE)) if t else [] for t in texts]
         known = self.chunks
-        fresh = list({c for row in cut for c in row if c not in known})
+        fresh = set().union(*cut).difference(known)
         if len(known) + len(fresh) > CACHE_CHUNKS:
             known.clear()
-            fresh = list({c for row in cut for c in row})
-        for c, e in zip(fresh, self.bare.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            fresh = set().union(*cut)
+        self.learn(list(fresh))
         return [b"".join(map(known.__getitem__, row)) for row in cut]
 
+    def by_library(self, chunks: list[str]) -> None:
+        for c, e in zip(chunks, self.bare.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.chunks[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Puts the ids of new chunks in."""
+        most = LONGEST if self.merges else 0
+        self.by_library([c for c in chunks if len(c) > most])
+        chunks = [c for c in chunks if len(c) <= most]
+        for k in range(0, len(chunks), BLOCK):
+            block = chunks[k : k + BLOCK]
+            points = np.frombuffer("".join(block).encode("utf-32-le"), np.uint32)
+            symbols = self.letters[np.minimum(points, len(self.letters) - 1)]
+            lengths = np.array([len(c) for c in block])
+            starts = np.cumsum(lengths) - lengths
+            spelled = np.minimum.reduceat(symbols, starts) >= 0
+            own = np.flatnonzero(spelled)
+            ids, counts = self.merges.merged(symbols, starts[own], lengths[own])
+            data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            for i, start, end in zip(own.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+                self.chunks[block[i]] = data[start:end]
+            self.by_library([block[i] for i in np.flatnonzero(~spelled).tolist()])
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        size = len(self.model.pieces)
-        if any(i < 0 or i >= size for row in ids for i in (min(row, default=0), max(row, default=0))):
+        return self.decoded(np.fromiter((i for row in ids for i in row), np.int64), [len(row) for row in ids])
+
+    def decoded(self, ids: np.ndarray, counts: list[int]) -> list[str]:
+        """The text of each row of so many ids."""
+        if ids.size and not 0 <= ids.min() <= ids.max() < len(self.sizes):
             raise ValueError("an id outside the model")
-        out = []
-        for row in ids:
+        raw, stops = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(ids), BLOCK):
+            some = ids[k : k + BLOCK]
+            ends = np.cumsum(sizes := self.sizes[some])
+            raw.append(self.spelled[np.repeat(self.places[some] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+            stops.append(ends + stops[-1][-1])
+        data, stop = b"".join(raw), np.concatenate(stops)
+        out, at = [], 0
+        for count in counts:
             try:
-                text = b"".join(map(self.bytes.__getitem__, row)).decode()
+                text = data[stop[at] : stop[at + count]].decode()
             except UnicodeDecodeError:
-                out.append(self.tokenizer.decode(row, skip_special_tokens=False))
-                continue
-            text = text.replace(SPACE, " ") if self.model.escape else text
-            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+                out.append(self.tokenizer.decode(ids[at : at + count].tolist(), skip_special_tokens=False))
+            else:
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            at += count
         return out
 
     def reference(self, texts: list[str]) -> list[list[int]]:
@@ -294,7 +342,7 @@ def verified(docs: DataFrame, path: str) -> DataFrame:
         own, texts = codec(path), [t or "" for t in batch.column("text").to_pylist()]
         data = own.encode(texts)
         ids = [memoryview(d).cast("I").tolist() for d in data]
-        again = own.decode(ids)
+        again = own.decoded(np.frombuffer(b"".join(data), "<u4"), [len(i) for i in ids])
         return common.batch_of(
             doc_id=batch.column("doc_id"), n_ids=pa.array([len(i) for i in ids], pa.int64()), ids_crc32=pa.array([zlib.crc32(d) for d in data], pa.int64()),
             decoded_sha256=pa.array([hashlib.sha256(a.encode()).hexdigest() for a in again], pa.string()),
